@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The source workload refreshes its warehouse with a full batch rebuild and has no
+stream input, watermark or stateful operator, so nothing is built here.  A rebuild
+is ``raceboard.plans.build.build_all`` run on a schedule.
+"""
