@@ -16,7 +16,7 @@ from raceboard.functions.columns import NULL_TOKENS
 from raceboard.operators.palette import cycle_palette
 from raceboard.operators.sequence import dnf_laps, lap_zero
 from raceboard.plans import display, queries, reports
-from raceboard.plans.warehouse import Warehouse
+from raceboard.plans.warehouse import Warehouse, built_warehouse
 from raceboard.session import scratch_path
 from raceboard.sources import csv_files
 from raceboard.sources.schemas import STAGING
@@ -38,7 +38,7 @@ ADHOC_ARGS = {"start": 1995}
 
 
 def _wh(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return Warehouse.from_tables(spark, sf_dir)
+    return built_warehouse(spark, sf_dir)
 
 
 def _table(name: str) -> Query:

@@ -1,25 +1,38 @@
-"""One lazily built warehouse per input: staging -> conformed -> reports.
+"""One warehouse per input: staging -> conformed -> reports.
 
-``Warehouse.from_tables`` derives staging from the star-schema test tables;
-``Warehouse.from_csv`` reads a folder of staging CSV files.  Nothing is computed
-until a DataFrame is acted on; ``build`` writes the reports (and optionally the
-conformed tables) so that queries read Parquet instead of the whole lineage.
+``Warehouse.from_tables`` derives staging lazily from the star-schema test tables;
+``Warehouse.from_csv`` reads a folder of staging CSV files.  ``materialize`` runs
+the whole build once, writing every table as Parquet under a folder in the shared
+checkpoint dir and returning a warehouse whose tables read those files (the
+source's "rebuild every table, then serve queries from them").  Written tables
+also cut the lineage, so a lost executor costs one stage, not the whole build.
 """
 
 from __future__ import annotations
 
+import os
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from raceboard.plans import conform, reports
+from raceboard.session import scratch_path
 from raceboard.sources import adapter, csv_files, store
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, staging: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, staging: dict[str, DataFrame],
+                 conformed: dict[str, DataFrame] | None = None, built_reports: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.staging = staging
+        if conformed is not None:
+            self.__dict__["conformed"] = conformed
+        if built_reports is not None:
+            self.__dict__["reports"] = built_reports
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
@@ -33,26 +46,72 @@ class Warehouse:
     def conformed(self) -> dict[str, DataFrame]:
         return conform.conform_all(self.staging)
 
+    @cached_property
+    def reports(self) -> dict[str, DataFrame]:
+        return reports.build_reports(self.conformed)
+
     def table(self, name: str) -> DataFrame:
         if name in self.conformed:
             return self.conformed[name]
         return self.reports[name]
 
-    @cached_property
-    def reports(self) -> dict[str, DataFrame]:
-        return reports.build_reports(self.conformed)
+    @classmethod
+    def materialize(cls, spark: SparkSession, sf_dir: str, out_dir: str,
+                    timer: Callable[[str, float], None] | None = None, parallel: int = 4) -> "Warehouse":
+        """Build every table from the star-schema tables in ``sf_dir`` into ``out_dir``.
 
-    def build(self, out_dir: str, include_conformed: bool = True) -> dict[str, str]:
-        """Write conformed tables, then reports read back from them; returns table -> path."""
+        Three waves: the adapter's two shared intermediates, the ten conformed tables,
+        the three reports.  Tables of one wave do not depend on each other, so their
+        writes are submitted as concurrent Spark jobs (``parallel`` at a time), which
+        keeps the cluster busy while a small table's job finishes.  Staging inputs are
+        cheap projections of the intermediates and stay lazy.
+        ``timer(table, seconds)`` is told how long each table took to write.
+        """
         out_dir = out_dir.rstrip("/")
-        paths: dict[str, str] = {}
-        tables = self.conformed
-        if include_conformed:
-            for name, df in self.conformed.items():
-                paths[name] = f"{out_dir}/{name}"
-                store.write_table(df, paths[name])
-            tables = {name: store.read_table(self.spark, p) for name, p in paths.items()}
-        for name, df in reports.build_reports(tables).items():
-            paths[name] = f"{out_dir}/{name}"
-            store.write_table(df, paths[name], store.LAYOUTS.get(name))
-        return paths
+
+        def keep(name: str, df: DataFrame, layout: store.Layout | None = None) -> DataFrame:
+            path = f"{out_dir}/{name}"
+            started = time.perf_counter()
+            store.write_table(df, path, layout)
+            if timer:
+                timer(name, time.perf_counter() - started)
+            return store.read_table(spark, path)
+
+        def wave(frames: dict[str, DataFrame], layouts: dict[str, store.Layout] | None = None) -> dict[str, DataFrame]:
+            layouts = layouts or {}
+            with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+                futures = {n: pool.submit(keep, n, df, layouts.get(n)) for n, df in frames.items()}
+                return {n: f.result() for n, f in futures.items()}
+
+        written = wave({f"work/{n}": df for n, df in adapter.adapter_work(spark, sf_dir).items()})
+        staging = adapter.staging_from_work(spark, sf_dir, {n.split("/", 1)[1]: df for n, df in written.items()})
+        conformed = wave(conform.conform_all(staging))
+        built = wave(reports.build_reports(conformed), store.LAYOUTS)
+        return cls(spark, staging, conformed, built)
+
+
+_BUILT: dict[tuple, Warehouse] = {}
+_LOCK = threading.Lock()
+
+
+def _input_signature(sf_dir: str) -> tuple:
+    sig = []
+    for name in adapter.TABLES:
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        try:
+            st = os.stat(path)
+            sig.append((name, st.st_size, int(st.st_mtime)))
+        except OSError:
+            sig.append((name, None, None))
+    return tuple(sig)
+
+
+def built_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The materialized warehouse for ``sf_dir``, built once per Spark application."""
+    key = (spark.sparkContext.applicationId, os.path.realpath(sf_dir), _input_signature(sf_dir))
+    with _LOCK:
+        wh = _BUILT.get(key)
+        if wh is None:
+            wh = Warehouse.materialize(spark, sf_dir, scratch_path(spark, "warehouse"))
+            _BUILT[key] = wh
+        return wh

@@ -255,13 +255,20 @@ def status(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STATUS), "statusId int, status string")
 
 
-def staging_from_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All twelve staging inputs as lazy DataFrames with the declared staging schemas."""
+def adapter_work(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The two shared intermediates: per-(race, driver) totals and the numbered laps."""
     lines = race_lines(spark, sf_dir)
-    totals = race_driver_totals(lines)
+    return {
+        "race_driver_totals": race_driver_totals(lines),
+        "result_laps": laps_of_results(lines).drop("l_returnflag", "o_year", "mon"),
+    }
+
+
+def staging_from_work(spark: SparkSession, sf_dir: str, work: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All twelve staging inputs, with the declared staging schemas, from the intermediates."""
+    totals, laps = work["race_driver_totals"], work["result_laps"]
     main = _results(totals, "main")
     sprint = _results(totals, "sprint")
-    laps = laps_of_results(lines)
     race_df = races(totals)
     out = {
         "results": main,
@@ -278,3 +285,8 @@ def staging_from_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame
         "status": status(spark),
     }
     return {name: conform_columns(df, STAGING[name]) for name, df in out.items()}
+
+
+def staging_from_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All twelve staging inputs as one lazy plan over the star-schema tables."""
+    return staging_from_work(spark, sf_dir, adapter_work(spark, sf_dir))
