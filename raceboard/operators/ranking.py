@@ -1,71 +1,114 @@
-"""Ranking operators.
-
-``row_number`` over a window whose partitions are few and large (a race, a season
-leaderboard, a whole table) funnels each partition through one task.  ``ordinal``
-numbers rows without that funnel: the caller names coarse *cells* whose order agrees
-with the window order; every cell is counted with a partial aggregation, the counts
-are prefix-summed per partition (a table of cells, not of rows) and each cell is
-numbered locally.  The only window over full rows is partitioned by
-(partition keys, cell), whose size the cell width bounds.
+"""Ranking and ordered-scan operators that survive few, huge or skewed groups.
+
+A window ``row_number() over (partition by P order by O)`` sorts each partition
+group in one task.  That is fine for many small groups and fatal for a few huge
+ones (a race, a season leaderboard, a whole table) or for one hot key.
+
+``ordinal`` / ``running_count`` therefore take *cells*: coarse keys whose order
+agrees with ``O`` (e.g. an id bucket, a lap bucket).  Each cell is measured with a
+partial aggregation, the measures are prefix-summed per group over the (small)
+table of cells, and rows are scanned locally inside their cell.  The only window
+over full rows is partitioned by (P, cell), whose size the cell width bounds.
+
+With ``hot_rows`` the cell path is used only for groups larger than ``hot_rows``:
+group sizes come from one partial aggregation, the hot keys (at most
+rows / hot_rows of them, so a bounded broadcast) are split off, and every other
+group keeps the plain single-shuffle window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 # A cell key: (expression, ascending).  Ascending keys sort NULLs first and
 # descending keys sort NULLs last, which is Spark's default for each direction.
 Cell = tuple[Column, bool]
 
+# Rows per id cell; bounds the largest window partition a leaderboard sorts.
+DEFAULT_ID_CELL = 1 << 20
+# A group with more rows than this is numbered through cells instead of one task.
+HOT_GROUP_ROWS = 1 << 22
+
 
 def _sort(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_first() if ascending else c.desc_nulls_last()
 
 
-def ordinal(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column], name: str,
-            cells: Sequence[Cell] | None = None) -> DataFrame:
-    """Add ``name`` = row_number() over (partition_by order by order_by), as an int.
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    cond = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
+    return left.alias("__l").join(right.alias("__r"), cond, how)
+
+
+def split_hot(df: DataFrame, partition_by: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary groups, rows of groups with more than ``hot_rows`` rows)."""
+    hot = (df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__size"))
+           .where(F.col("__size") > F.lit(int(hot_rows))).select(*partition_by))
+    hot = F.broadcast(hot)  # at most rows / hot_rows keys
+    cold = _null_safe_join(df, hot, partition_by, "left_anti").select("__l.*")
+    warm = _null_safe_join(df, hot, partition_by, "left_semi").select("__l.*")
+    return cold, warm
 
-    ``cells``: coarse keys such that sorting rows by ``order_by`` also sorts them by the
-    cells (in the given directions).  Without cells this is a plain window, right for
-    partitions that are many and small.
-    """
-    partition_by = list(partition_by)
-    if not cells:
-        w = Window.partitionBy(*partition_by).orderBy(*order_by)
-        return df.withColumn(name, F.row_number().over(w))
 
+def _cell_scan(df: DataFrame, partition_by: list[str], cells: Sequence[Cell], measure: Column,
+               local: Callable[[WindowSpec], Column], name: str) -> DataFrame:
     cell_names = [f"__cell{i}" for i in range(len(cells))]
     keys = partition_by + cell_names
     keyed = df.withColumns({n: c for n, (c, _) in zip(cell_names, cells)})
-
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = keyed.groupBy(*keys).agg(measure.alias("__n"))
     before = (Window.partitionBy(*partition_by)
               .orderBy(*[_sort(F.col(n), asc) for n, (_, asc) in zip(cell_names, cells)])
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-
-    local = keyed.withColumn("__local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)))
-    cond = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__o.{k}")) for k in keys]
-    numbered = (local.alias("__l").join(offsets.alias("__o"), cond, "inner")
-                .select("__l.*", F.col("__o.__offset")))
-    return (numbered.withColumn(name, (F.col("__offset") + F.col("__local")).cast("int"))
+    scanned = keyed.withColumn("__local", local(Window.partitionBy(*keys)))
+    joined = _null_safe_join(scanned, offsets, keys, "inner").select("__l.*", F.col("__r.__offset"))
+    return (joined.withColumn(name, F.col("__offset") + F.col("__local"))
             .drop("__offset", "__local", *cell_names))
 
 
+def _scan(df: DataFrame, partition_by: Sequence[str], cells: Sequence[Cell] | None, hot_rows: int | None,
+          measure: Column, local: Callable[[WindowSpec], Column], name: str) -> DataFrame:
+    partition_by = list(partition_by)
+    if not cells:
+        return df.withColumn(name, local(Window.partitionBy(*partition_by)))
+    if hot_rows is None or not partition_by:  # one group: the whole table goes through cells
+        return _cell_scan(df, partition_by, cells, measure, local, name)
+    cold, warm = split_hot(df, partition_by, hot_rows)
+    plain = cold.withColumn(name, local(Window.partitionBy(*partition_by)))
+    return plain.unionByName(_cell_scan(warm, partition_by, cells, measure, local, name))
+
+
+def ordinal(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column], name: str,
+            cells: Sequence[Cell] | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Add ``name`` = row_number() over (partition_by order by order_by), as an int.
+
+    ``cells``: coarse keys such that sorting rows by ``order_by`` also sorts them by the
+    cells (in the given directions).  Without cells this is a plain window, right for
+    partitions that are many and small.  ``hot_rows``: use cells only for larger groups.
+    """
+    out = _scan(df, partition_by, cells, hot_rows, F.count(F.lit(1)),
+                lambda w: F.row_number().over(w.orderBy(*order_by)), name)
+    return out.withColumn(name, F.col(name).cast("int"))
+
+
+def running_count(df: DataFrame, partition_by: Sequence[str], order_col: str, flag: Column, name: str,
+                  cells: Sequence[Cell] | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Flags counted from the first row through all rows sharing the current ``order_col``
+    (the default RANGE frame: peers see each other's flags).  Cells must be functions of
+    ``order_col`` so peers share a cell."""
+    value = flag.cast("int")
+    return _scan(df, partition_by, cells, hot_rows, F.sum(value),
+                 lambda w: F.sum(value).over(w.orderBy(F.col(order_col))), name)
+
+
 def id_cell(id_col: str | Column, width: int) -> Column:
     """Bucket of an integer id: ids ``width`` apart fall in different cells."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.floor(c.cast("double") / F.lit(float(width))).cast("bigint")
 
 
-# Rows per id cell; bounds the largest window partition a leaderboard sorts.
-DEFAULT_ID_CELL = 1 << 20
-
-
 def leaderboard_position(df: DataFrame, partition_by: Sequence[str], value: str, id_col: str,
                          name: str = "position", id_cell_width: int = DEFAULT_ID_CELL) -> DataFrame:
     """Position by ``value`` DESC (NULLs last), ties by ``id_col`` ASC, within ``partition_by``.

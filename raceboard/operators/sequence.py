@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raceboard.functions.columns import is_lapped_status
+from raceboard.operators.ranking import HOT_GROUP_ROWS, id_cell, ordinal
+
+# Laps per cell when a hot (race, driver) is numbered in pieces.
+LAP_CELL = 1 << 16
 
 LAP_COLUMNS = ("race_k", "driver_k", "lap", "position", "time", "milliseconds")
 
@@ -45,7 +49,11 @@ def dnf_laps(laps: DataFrame, results: DataFrame, status: DataFrame) -> DataFram
 
 
 def final_lap_flag(laps: DataFrame, name: str = "is_final") -> DataFrame:
-    """Flag the highest lap of each (race, driver); equal laps broken by position, then time."""
-    w = Window.partitionBy("race_k", "driver_k").orderBy(
-        F.col("lap").desc(), F.col("position").asc_nulls_last(), F.col("milliseconds").asc_nulls_last())
-    return laps.withColumn(name, F.row_number().over(w) == 1)
+    """Flag the highest lap of each (race, driver); equal laps broken by position, then time.
+
+    A row number per (race, driver); a hot (race, driver) is numbered through lap cells.
+    """
+    order = [F.col("lap").desc(), F.col("position").asc_nulls_last(), F.col("milliseconds").asc_nulls_last()]
+    ranked = ordinal(laps, ["race_k", "driver_k"], order, "__final_rank",
+                     cells=[(id_cell("lap", LAP_CELL), False)], hot_rows=HOT_GROUP_ROWS)
+    return ranked.withColumn(name, F.col("__final_rank") == 1).drop("__final_rank")

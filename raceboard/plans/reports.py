@@ -11,7 +11,7 @@ Inputs are the conformed tables (``conform.conform_all``) as a dict.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +23,17 @@ from raceboard.functions.columns import (
 )
 from raceboard.operators.cumulative import episode_number, running_total
 from raceboard.operators.grid import dense_period_metrics, result_sums
-from raceboard.operators.ranking import best_of_group, leaderboard_position, ordinal
+from raceboard.operators.ranking import HOT_GROUP_ROWS, best_of_group, id_cell, leaderboard_position, ordinal
+from raceboard.operators.sequence import LAP_CELL
 from raceboard.operators.reshape import unpivot_metrics, with_running_variant
 
 Tables = Mapping[str, DataFrame]
+Persist = Callable[[str, DataFrame], DataFrame]
+
+
+def _identity(_name: str, df: DataFrame) -> DataFrame:
+    return df
+
 
 # --- fixed values: metric labels, in report order ---------------------------------
 SEASON_METRICS = {"points": "Points", "race_wins": "Race Wins", "podiums": "Podiums",
@@ -64,18 +71,28 @@ def _results_with_year(t: Tables) -> DataFrame:
     return rr.join(race_year, "race_k", "inner")
 
 
-def champion_flag(metrics: DataFrame, id_col: str = "id") -> DataFrame:
-    """``championships`` = 1.0 for the top points row per year (ties -> lowest id), else 0.0.
+def champion_flag(metrics: DataFrame, sums: DataFrame, entities: DataFrame, entity_key: str,
+                  periods: DataFrame) -> DataFrame:
+    """``championships`` = 1.0 for the season's top points row (ties -> lowest id), else 0.0.
 
-    The champion is found with an aggregation (no window over a whole season) and the
-    per-year winners, one row per season, are broadcast back.
+    Found without re-running the dense grid or ranking a whole season: among entities
+    with results the best (points desc, NULLs last, id) is an aggregation of the
+    per-(year, entity) sums; a season where nobody has points (a NULL-year group, or no
+    result rows at all) goes to the lowest entity id of the grid.  The winners table has
+    one row per season and is broadcast back.
     """
     pts = F.col("points")
-    champs = best_of_group(metrics, ["year"], [pts.isNull(), -pts, F.col(id_col)], {"champion_id": id_col})
+    scored = sums.where(F.col("year").isNotNull()).join(entities.select(entity_key), entity_key, "left_semi")
+    best = best_of_group(scored, ["year"], [pts.isNull(), -pts, F.col(entity_key)],
+                         {"best_points": "points", "best_id": entity_key})
+    lowest = entities.agg(F.min(entity_key).alias("lowest_id"))
+    champs = (periods.select("year").join(best, "year", "left").crossJoin(F.broadcast(lowest))
+              .select("year", F.when(F.col("best_points").isNotNull(), F.col("best_id"))
+                      .otherwise(F.col("lowest_id")).cast("bigint").alias("champion_id")))
     m = metrics.alias("m")
     c = F.broadcast(champs).alias("c")
     joined = m.join(c, F.col("m.year").eqNullSafe(F.col("c.year")), "left")
-    flag = F.when(F.col(f"m.{id_col}") == F.col("c.champion_id"), F.lit(1.0)).otherwise(F.lit(0.0))
+    flag = F.when(F.col("m.id") == F.col("c.champion_id"), F.lit(1.0)).otherwise(F.lit(0.0))
     return joined.select("m.*", flag.alias("championships"))
 
 
@@ -93,7 +110,7 @@ def driver_year_metrics(t: Tables) -> DataFrame:
         F.coalesce("c_name", F.lit(NO_CONSTRUCTOR)).alias("constructor_name"),
         F.coalesce("c_color", F.lit(DEFAULT_CONSTRUCTOR_COLOR)).alias("constructor_color"),
         "wiki_url", "season_wiki_url", "points", "race_wins", "podiums")
-    return champion_flag(metrics)
+    return champion_flag(metrics, sums, drivers, "driver_k", periods)
 
 
 def constructor_year_metrics(t: Tables) -> DataFrame:
@@ -105,7 +122,7 @@ def constructor_year_metrics(t: Tables) -> DataFrame:
         "year", F.lit(CONSTRUCTOR).alias("type"), F.col("constructor_k").cast("bigint").alias("id"), "name",
         F.col("name").alias("constructor_name"), F.col("color").alias("constructor_color"), "wiki_url",
         "season_wiki_url", "points", "race_wins", "podiums")
-    return champion_flag(metrics)
+    return champion_flag(metrics, sums, cons, "constructor_k", periods)
 
 
 def unpivot_seasons(t: Tables) -> DataFrame:
@@ -249,18 +266,20 @@ def race_lap_data(t: Tables) -> DataFrame:
     return episode_number(data, ["race_k", "driver_k"], "lap", F.col("is_pit_lap"), "stint_number")
 
 
-def report_race_metrics(t: Tables) -> DataFrame:
-    data = race_lap_data(t)
+def report_race_metrics(t: Tables, persist: Persist | None = None) -> DataFrame:
+    """Lap rows with stint and tyre age.  ``persist`` may write the lap data (with
+    stints) first, so the tyre-age numbering starts from a table, not the whole join."""
+    data = (persist or _identity)("race_lap_data", race_lap_data(t))
     aged = ordinal(data, ["year", "race_name", "driver_name", "stint_number"],
                    [F.col("lap").asc(), F.col("driver_code").asc_nulls_first(),
                     F.col("pit_stop_time").asc_nulls_first(), F.col("pit_stop_milliseconds").asc_nulls_first()],
-                   "tire_age")
+                   "tire_age", cells=[(id_cell("lap", LAP_CELL), True)], hot_rows=HOT_GROUP_ROWS)
     return aged.select(*RACE_COLUMNS)
 
 
-def build_reports(t: Tables) -> dict[str, DataFrame]:
+def build_reports(t: Tables, persist: Persist | None = None) -> dict[str, DataFrame]:
     return {
         "report_seasons_metrics": report_seasons_metrics(t),
         "report_season_metrics": report_season_metrics(t),
-        "report_race_metrics": report_race_metrics(t),
+        "report_race_metrics": report_race_metrics(t, persist),
     }

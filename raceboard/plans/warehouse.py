@@ -86,7 +86,7 @@ class Warehouse:
         written = wave({f"work/{n}": df for n, df in adapter.adapter_work(spark, sf_dir).items()})
         staging = adapter.staging_from_work(spark, sf_dir, {n.split("/", 1)[1]: df for n, df in written.items()})
         conformed = wave(conform.conform_all(staging))
-        built = wave(reports.build_reports(conformed), store.LAYOUTS)
+        built = wave(reports.build_reports(conformed, persist=lambda n, df: keep(f"work/{n}", df)), store.LAYOUTS)
         return cls(spark, staging, conformed, built)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from raceboard.functions.columns import clock_text
 from raceboard.operators.palette import PALETTE, cycle_palette
-from raceboard.operators.ranking import id_cell, ordinal
+from raceboard.operators.ranking import HOT_GROUP_ROWS, id_cell, ordinal
 from raceboard.sources.schemas import STAGING, conform_columns
 
 # --- fixed values of the adapter mapping -----------------------------------------
@@ -38,6 +38,7 @@ N_CONSTRUCTORS = 25
 # Cell widths for race-wide rankings (rows of one cell are numbered by one task).
 ORDERKEY_CELL = 1 << 24
 PRICE_CELL = 1000.0
+LAP_CELL = 1 << 16
 
 TABLES = ("lineitem", "orders", "supplier", "nation")
 
@@ -136,20 +137,18 @@ def _results(totals: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def laps_of_results(lines: DataFrame) -> DataFrame:
-    """Numbered laps of every (race, driver) that has a main result, plus pit-stop inputs.
+def laps_of_results(lines: DataFrame, totals: DataFrame) -> DataFrame:
+    """Numbered laps of every (race, driver) that has a main result.
 
-    One shuffle on (race_k, driver_k): the main-result test and the lap number are
-    windows over the same partitioning.
+    Lines are kept by a semi-join on the (race, driver) totals; the lap number is a
+    per-(race, driver) row number whose hot groups are numbered through order-key cells.
     """
-    from pyspark.sql import Window
-    per_driver = Window.partitionBy("race_k", "driver_k")
-    in_order = per_driver.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return (lines
-            .withColumn("_main_n", F.count(F.when(_is_main(), F.lit(1))).over(per_driver))
-            .where(F.col("_main_n") > 0)
-            .withColumn("lap", F.row_number().over(in_order))
-            .drop("_main_n"))
+    with_result = totals.where(F.col("main_n") > 0).select("race_k", "driver_k")
+    laps = lines.join(with_result, ["race_k", "driver_k"], "left_semi")
+    order = [F.col("l_orderkey").asc(), F.col("l_linenumber").asc(), F.col("l_partkey").asc(),
+             F.col("l_extendedprice").asc()]
+    return ordinal(laps, ["race_k", "driver_k"], order, "lap",
+                   cells=[(id_cell("l_orderkey", ORDERKEY_CELL), True)], hot_rows=HOT_GROUP_ROWS)
 
 
 def lap_times(laps: DataFrame) -> DataFrame:
@@ -164,13 +163,12 @@ def lap_times(laps: DataFrame) -> DataFrame:
 
 
 def pit_stops(laps: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-    stops = laps.where(F.col("l_quantity") >= 45)
-    numbered = stops.withColumn("stop", F.row_number().over(Window.partitionBy("race_k", "driver_k").orderBy("lap")))
+    stops = ordinal(laps.where(F.col("l_quantity") >= 45), ["race_k", "driver_k"], [F.col("lap").asc()], "stop",
+                    cells=[(id_cell("lap", LAP_CELL), True)], hot_rows=HOT_GROUP_ROWS)
     ms = F.floor(F.col("l_tax") * 100000).cast("bigint")
     secs = F.concat(((ms - ms % 1000) / 1000).cast("bigint").cast("string"), F.lit("."),
                     F.lpad((ms % 1000).cast("string"), 3, "0"))
-    return numbered.select(
+    return stops.select(
         F.col("race_k").alias("raceId"), F.col("driver_k").alias("driverId"),
         F.col("lap").cast("int").alias("lap"), F.col("stop").cast("int").alias("stop"),
         clock_text(F.col("l_orderkey") % 3600000).alias("time"), secs.alias("duration"),
@@ -258,9 +256,10 @@ def status(spark: SparkSession) -> DataFrame:
 def adapter_work(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The two shared intermediates: per-(race, driver) totals and the numbered laps."""
     lines = race_lines(spark, sf_dir)
+    totals = race_driver_totals(lines)
     return {
-        "race_driver_totals": race_driver_totals(lines),
-        "result_laps": laps_of_results(lines).drop("l_returnflag", "o_year", "mon"),
+        "race_driver_totals": totals,
+        "result_laps": laps_of_results(lines, totals).drop("l_returnflag", "o_year", "mon"),
     }
 
 

@@ -20,6 +20,7 @@ def spark():
                .config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
+               .config("spark.driver.memory", "6g")
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(session)
@@ -41,3 +42,16 @@ def make_staging(spark):
             out[name] = staging_df(spark, name, rows)
         return out
     return make
+
+
+@pytest.fixture
+def materialize(spark, tmp_path):
+    """Write tables to Parquet and read them back (the build's stage boundary)."""
+    def run(tables):
+        out = {}
+        for name, df in tables.items():
+            path = str(tmp_path / name)
+            df.write.mode("overwrite").parquet(path)
+            out[name] = spark.read.parquet(path)
+        return out
+    return run

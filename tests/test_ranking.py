@@ -61,3 +61,20 @@ def test_cycle_palette(spark):
     got = {r.k: r.c for r in cycle_palette(df, "k", "c").collect()}
     assert got[2] == PALETTE[0] and got[7] == PALETTE[1] and got[30] == PALETTE[2]
     assert got[121] == PALETTE[0]  # 25th key wraps around
+
+
+def test_hot_group_split_matches_plain_window(spark):
+    from raceboard.operators.ranking import running_count
+    rnd = random.Random(3)
+    rows = [(0 if rnd.random() < 0.6 else rnd.randint(1, 30), rnd.randint(0, 40), rnd.random() < 0.3, i)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "g int, lap int, pit boolean, id long")
+    order = [F.col("lap").asc(), F.col("id").asc()]
+    want = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+            .collect()}
+    got = ordinal(df, ["g"], order, "rn", cells=[(id_cell("lap", 8), True)], hot_rows=50)
+    assert {r.id: r.rn for r in got.collect()} == want
+    want_c = {r.id: r.c for r in df.withColumn("c", F.sum(F.col("pit").cast("int")).over(
+        Window.partitionBy("g").orderBy("lap"))).collect()}
+    got_c = running_count(df, ["g"], "lap", F.col("pit"), "c", cells=[(id_cell("lap", 8), True)], hot_rows=50)
+    assert {r.id: r.c for r in got_c.collect()} == want_c

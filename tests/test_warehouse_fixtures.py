@@ -22,7 +22,7 @@ def race(rid, year, name=None, date=None):
 
 
 @pytest.fixture
-def season_tables(make_staging):
+def season_tables(make_staging, materialize):
     st = make_staging(
         seasons=[{"year": y, "url": f"season/{y}"} for y in (2010, 2011, 2012)],
         races=[race(1001, 2010, date="2010-03-01"), race(1002, 2010, date="2010-04-01"), race(1101, 2011)],
@@ -38,7 +38,7 @@ def season_tables(make_staging):
                  res(1002, 5, pos=3, order=3, points=15.0)],
         sprint_results=[res(1001, 1, pos=1, points=8.0)],
     )
-    return conform.conform_all(st)
+    return materialize(conform.conform_all(st))
 
 
 def test_wins_three_valued(season_tables):
@@ -91,7 +91,7 @@ def test_primary_constructor(make_staging):
 
 
 @pytest.fixture
-def lap_tables(make_staging):
+def lap_tables(make_staging, materialize):
     results = [res(9, 1, pos=1, order=1, grid=0), res(9, 2, pos=None, order=5, grid=2, status=0),
                res(9, 3, pos=3, order=3, grid=3, status=1), res(9, 4, pos=4, order=4, grid=4, status=2),
                res(9, 5, pos=None, order=6, grid=5, status=99)]
@@ -106,7 +106,7 @@ def lap_tables(make_staging):
                       drivers=[{"driverId": d, "forename": "D", "surname": "x" if d in (1, 2) else str(d),
                                 "code": None if d == 3 else f"C{d}"} for d in range(1, 7)],
                       constructors=[{"constructorId": 1, "name": "C1"}])
-    return conform.conform_all(st)
+    return materialize(conform.conform_all(st))
 
 
 def test_fact_lap_zero_and_dnf(lap_tables):
