@@ -42,10 +42,16 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.alias("__l").join(right.alias("__r"), cond, how)
 
 
-def split_hot(df: DataFrame, partition_by: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of groups with more than ``hot_rows`` rows)."""
-    hot = (df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__size"))
-           .where(F.col("__size") > F.lit(int(hot_rows))).select(*partition_by))
+def split_hot(df: DataFrame, partition_by: Sequence[str], hot_rows: int,
+              sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary groups, rows of groups with more than ``hot_rows`` rows).
+
+    ``sizes`` (partition columns + ``__size``) may be supplied when an upstream
+    aggregation already counted the groups; otherwise one partial aggregation does.
+    """
+    if sizes is None:
+        sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__size"))
+    hot = sizes.where(F.col("__size") > F.lit(int(hot_rows))).select(*partition_by)
     hot = F.broadcast(hot)  # at most rows / hot_rows keys
     cold = _null_safe_join(df, hot, partition_by, "left_anti").select("__l.*")
     warm = _null_safe_join(df, hot, partition_by, "left_semi").select("__l.*")
@@ -69,27 +75,30 @@ def _cell_scan(df: DataFrame, partition_by: list[str], cells: Sequence[Cell], me
 
 
 def _scan(df: DataFrame, partition_by: Sequence[str], cells: Sequence[Cell] | None, hot_rows: int | None,
-          measure: Column, local: Callable[[WindowSpec], Column], name: str) -> DataFrame:
+          measure: Column, local: Callable[[WindowSpec], Column], name: str,
+          sizes: DataFrame | None = None) -> DataFrame:
     partition_by = list(partition_by)
     if not cells:
         return df.withColumn(name, local(Window.partitionBy(*partition_by)))
     if hot_rows is None or not partition_by:  # one group: the whole table goes through cells
         return _cell_scan(df, partition_by, cells, measure, local, name)
-    cold, warm = split_hot(df, partition_by, hot_rows)
+    cold, warm = split_hot(df, partition_by, hot_rows, sizes)
     plain = cold.withColumn(name, local(Window.partitionBy(*partition_by)))
     return plain.unionByName(_cell_scan(warm, partition_by, cells, measure, local, name))
 
 
 def ordinal(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column], name: str,
-            cells: Sequence[Cell] | None = None, hot_rows: int | None = None) -> DataFrame:
+            cells: Sequence[Cell] | None = None, hot_rows: int | None = None,
+            sizes: DataFrame | None = None) -> DataFrame:
     """Add ``name`` = row_number() over (partition_by order by order_by), as an int.
 
     ``cells``: coarse keys such that sorting rows by ``order_by`` also sorts them by the
     cells (in the given directions).  Without cells this is a plain window, right for
-    partitions that are many and small.  ``hot_rows``: use cells only for larger groups.
+    partitions that are many and small.  ``hot_rows``: use cells only for larger groups
+    (``sizes``: optional precomputed group sizes, see ``split_hot``).
     """
     out = _scan(df, partition_by, cells, hot_rows, F.count(F.lit(1)),
-                lambda w: F.row_number().over(w.orderBy(*order_by)), name)
+                lambda w: F.row_number().over(w.orderBy(*order_by)), name, sizes)
     return out.withColumn(name, F.col(name).cast("int"))
 
 

@@ -8,7 +8,7 @@ broadcast threshold, and shuffles otherwise, so no dimension is assumed small.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ from raceboard.operators.ranking import best_of_group
 from raceboard.operators.sequence import dnf_laps, final_lap_flag, lap_zero
 
 Staging = Mapping[str, DataFrame]
+Persist = Callable[[str, DataFrame], DataFrame]
+
+
+def _identity(_name: str, df: DataFrame) -> DataFrame:
+    return df
 
 
 def dim_circuit(st: Staging) -> DataFrame:
@@ -117,20 +122,20 @@ def dim_driver_constructor(st: Staging) -> DataFrame:
     return best.select("year", "constructor_k", "driver_k")
 
 
-def fact_lap(st: Staging) -> DataFrame:
+def fact_lap(st: Staging, persist: Persist | None = None) -> DataFrame:
     """Laps per (race, driver): grid lap 0, the timed laps and a synthetic retirement lap,
-    with ``is_final`` on the last one."""
+    with ``is_final`` on the last one.  ``persist`` may write the unflagged laps first."""
     zero = lap_zero(st["results"])
     real = st["lap_times"].select(
         F.col("raceId").alias("race_k"), F.col("driverId").alias("driver_k"), "lap", "position", "time",
         "milliseconds")
     zero_and_real = zero.unionByName(real)
     dnf = dnf_laps(zero_and_real, st["results"], st["status"])
-    combined = zero_and_real.unionByName(dnf)
+    combined = (persist or _identity)("lap_rows", zero_and_real.unionByName(dnf))
     return final_lap_flag(combined)
 
 
-def conform_all(st: Staging) -> dict[str, DataFrame]:
+def conform_all(st: Staging, persist: Persist | None = None) -> dict[str, DataFrame]:
     return {
         "dim_circuit": dim_circuit(st),
         "dim_constructor": dim_constructor(st),
@@ -138,7 +143,7 @@ def conform_all(st: Staging) -> dict[str, DataFrame]:
         "dim_race": dim_race(st),
         "dim_season": dim_season(st),
         "dim_driver_constructor": dim_driver_constructor(st),
-        "fact_lap": fact_lap(st),
+        "fact_lap": fact_lap(st, persist),
         "fact_pit_stop": fact_pit_stop(st),
         "fact_qualifying": fact_qualifying(st),
         "fact_race_result": fact_race_result(st),

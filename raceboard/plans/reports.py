@@ -244,7 +244,7 @@ def pit_shift_join(t: Tables) -> DataFrame:
     return l.join(ps, ["race_k", "driver_k", "lap"], "left")
 
 
-def race_lap_data(t: Tables) -> DataFrame:
+def race_lap_data(t: Tables, persist: Persist | None = None) -> DataFrame:
     laps = pit_shift_join(t)
     rr = t["fact_race_result"].where(~F.col("is_sprint")).select(
         "race_k", "driver_k", "constructor_k", F.col("status").alias("rr_status"))
@@ -263,13 +263,14 @@ def race_lap_data(t: Tables) -> DataFrame:
         "pit_stop_time", "pit_stop_milliseconds",
         (F.col("milliseconds") - F.coalesce("pit_stop_milliseconds", F.lit(0))).alias("net_lap_milliseconds"),
         is_pit.alias("is_pit_lap"))
+    data = (persist or _identity)("race_lap_rows", data)
     return episode_number(data, ["race_k", "driver_k"], "lap", F.col("is_pit_lap"), "stint_number")
 
 
 def report_race_metrics(t: Tables, persist: Persist | None = None) -> DataFrame:
     """Lap rows with stint and tyre age.  ``persist`` may write the lap data (with
     stints) first, so the tyre-age numbering starts from a table, not the whole join."""
-    data = (persist or _identity)("race_lap_data", race_lap_data(t))
+    data = (persist or _identity)("race_lap_data", race_lap_data(t, persist))
     aged = ordinal(data, ["year", "race_name", "driver_name", "stint_number"],
                    [F.col("lap").asc(), F.col("driver_code").asc_nulls_first(),
                     F.col("pit_stop_time").asc_nulls_first(), F.col("pit_stop_milliseconds").asc_nulls_first()],

@@ -84,8 +84,9 @@ class Warehouse:
                 return {n: f.result() for n, f in futures.items()}
 
         written = wave({f"work/{n}": df for n, df in adapter.adapter_work(spark, sf_dir).items()})
-        staging = adapter.staging_from_work(spark, sf_dir, {n.split("/", 1)[1]: df for n, df in written.items()})
-        conformed = wave(conform.conform_all(staging))
+        work = {n.split("/", 1)[1]: df for n, df in written.items()}
+        staging = adapter.staging_from_work(spark, sf_dir, work, persist=lambda n, df: keep(f"staging/{n}", df))
+        conformed = wave(conform.conform_all(staging, persist=lambda n, df: keep(f"work/{n}", df)))
         built = wave(reports.build_reports(conformed, persist=lambda n, df: keep(f"work/{n}", df)), store.LAYOUTS)
         return cls(spark, staging, conformed, built)
 

@@ -17,6 +17,8 @@ the cell-bucketed ``ordinal`` so a race never has to fit one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,8 +149,9 @@ def laps_of_results(lines: DataFrame, totals: DataFrame) -> DataFrame:
     laps = lines.join(with_result, ["race_k", "driver_k"], "left_semi")
     order = [F.col("l_orderkey").asc(), F.col("l_linenumber").asc(), F.col("l_partkey").asc(),
              F.col("l_extendedprice").asc()]
+    sizes = totals.where(F.col("main_n") > 0).select("race_k", "driver_k", F.col("n_lines").alias("__size"))
     return ordinal(laps, ["race_k", "driver_k"], order, "lap",
-                   cells=[(id_cell("l_orderkey", ORDERKEY_CELL), True)], hot_rows=HOT_GROUP_ROWS)
+                   cells=[(id_cell("l_orderkey", ORDERKEY_CELL), True)], hot_rows=HOT_GROUP_ROWS, sizes=sizes)
 
 
 def lap_times(laps: DataFrame) -> DataFrame:
@@ -263,16 +266,22 @@ def adapter_work(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def staging_from_work(spark: SparkSession, sf_dir: str, work: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All twelve staging inputs, with the declared staging schemas, from the intermediates."""
+def staging_from_work(spark: SparkSession, sf_dir: str, work: dict[str, DataFrame],
+                      persist: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All twelve staging inputs, with the declared staging schemas, from the intermediates.
+
+    ``persist(name, df)`` may write the ranked inputs that several tables read
+    (results, sprint results, timed laps) and return their read-back.
+    """
+    keep = persist or (lambda _name, df: df)
     totals, laps = work["race_driver_totals"], work["result_laps"]
-    main = _results(totals, "main")
-    sprint = _results(totals, "sprint")
+    main = keep("results", _results(totals, "main"))
+    sprint = keep("sprint_results", _results(totals, "sprint"))
     race_df = races(totals)
     out = {
         "results": main,
         "sprint_results": sprint,
-        "lap_times": lap_times(laps),
+        "lap_times": keep("lap_times", lap_times(laps)),
         "pit_stops": pit_stops(laps),
         "qualifying": qualifying(main),
         "races": race_df,
