@@ -22,11 +22,13 @@ def flag_sum(flag: Column, is_sprint: Column) -> Column:
     return F.sum(F.when(~is_sprint, flag.cast("int")).otherwise(F.lit(0)))
 
 
-def result_sums(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """points / race_wins / podiums sums and distinct races per ``keys`` of a result table."""
+def result_sums(results: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
+    """points / race_wins / podiums sums and distinct races per ``keys`` of a result table
+    (plus any ``extra`` aggregate columns, computed in the same pass)."""
     pos = F.col("position")
     sprint = F.col("is_sprint")
     return results.groupBy(*keys).agg(
+        *extra,
         F.sum("points").alias("points"),
         flag_sum(pos == 1, sprint).alias("race_wins"),
         flag_sum(pos.between(1, 3), sprint).alias("podiums"),

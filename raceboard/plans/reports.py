@@ -170,14 +170,15 @@ def _race_context(t: Tables) -> DataFrame:
     return r.join(cir, "circuit_k", "left").join(s, "year", "left").drop("circuit_k")
 
 
-def _race_grid(members: DataFrame, key: str, races: DataFrame, results: DataFrame) -> DataFrame:
+def _race_grid(members: DataFrame, key: str, races: DataFrame, sums: DataFrame) -> DataFrame:
     """members-of-season × races-of-season, with the member's result sums for that race.
 
-    No result rows: points NULL, wins/podiums 0.  The per-(race, member) sums are one
-    aggregation of the results, joined on the grid's own grain.
+    No result rows: points NULL, wins/podiums 0.  The races side is one row per race
+    of the calendar (bounded by seasons × races per season, whatever the volume of
+    results), so it is broadcast: joining on ``year`` alone with a shuffle would send a
+    whole season to one task.
     """
-    sums = result_sums(results, ["race_k", key])
-    grid = members.join(races, "year", "inner").join(sums, ["race_k", key], "left")
+    grid = members.join(F.broadcast(races), "year", "inner").join(sums, ["race_k", key], "left")
     absent = F.col("n_rows").isNull()
     return (grid
             .withColumn("race_wins", F.when(absent, F.lit(0)).otherwise(F.col("race_wins")))
@@ -187,13 +188,14 @@ def _race_grid(members: DataFrame, key: str, races: DataFrame, results: DataFram
 def driver_race_metrics(t: Tables) -> DataFrame:
     rr = t["fact_race_result"]
     members = season_drivers(t).select("year", "driver_k", "full_name", "wiki_url")
-    grid = _race_grid(members, "driver_k", _race_context(t), rr)
-    # The constructor shown for a driver in a race: main result first, then lowest key.
-    team = best_of_group(rr, ["race_k", "driver_k"], [F.col("is_sprint"), F.col("constructor_k")],
-                         {"team_k": "constructor_k"})
+    # The constructor shown for a driver in a race: main result first, then lowest key;
+    # picked inside the same aggregation that sums the race's results.
+    team = F.min(F.struct(F.col("is_sprint"), F.col("constructor_k")))["constructor_k"].alias("team_k")
+    sums = result_sums(rr, ["race_k", "driver_k"], team)
+    grid = _race_grid(members, "driver_k", _race_context(t), sums)
     c = t["dim_constructor"].select(F.col("constructor_k").alias("team_k"), F.col("name").alias("c_name"),
                                     F.col("color").alias("c_color"))
-    with_team = grid.join(team, ["race_k", "driver_k"], "left").join(c, "team_k", "left")
+    with_team = grid.join(c, "team_k", "left")
     return with_team.select(
         "race_k", "year", "race", "race_date", F.lit(DRIVER).alias("type"),
         F.col("driver_k").cast("bigint").alias("id"), F.col("full_name").alias("name"),
@@ -205,7 +207,7 @@ def driver_race_metrics(t: Tables) -> DataFrame:
 def constructor_race_metrics(t: Tables) -> DataFrame:
     rr = t["fact_race_result"]
     members = season_constructors(t).select("year", "constructor_k", "name", "color", "wiki_url")
-    grid = _race_grid(members, "constructor_k", _race_context(t), rr)
+    grid = _race_grid(members, "constructor_k", _race_context(t), result_sums(rr, ["race_k", "constructor_k"]))
     return grid.select(
         "race_k", "year", "race", "race_date", F.lit(CONSTRUCTOR).alias("type"),
         F.col("constructor_k").cast("bigint").alias("id"), "name", F.col("name").alias("constructor_name"),

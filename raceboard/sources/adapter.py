@@ -80,9 +80,7 @@ def race_driver_totals(lines: DataFrame) -> DataFrame:
     qty = F.floor("l_quantity").cast("bigint")
     ms = F.floor("l_extendedprice").cast("bigint")
     main, sprint = _is_main(), _is_sprint()
-    return lines.groupBy("race_k", "driver_k").agg(
-        F.first("o_year").alias("o_year"),
-        F.first("mon").alias("mon"),
+    totals = lines.groupBy("race_k", "driver_k").agg(
         F.min(F.when(main, F.col("l_orderkey"))).alias("main_mo"),
         F.sum(F.when(main, qty)).alias("main_score"),
         F.count(F.when(main, F.lit(1))).alias("main_n"),
@@ -93,6 +91,9 @@ def race_driver_totals(lines: DataFrame) -> DataFrame:
         F.sum(ms).alias("total_ms"),
         F.min(ms).alias("best_ms"),
     )
+    # race_k = year * 100 + month
+    return totals.withColumns({"o_year": ((F.col("race_k") - F.col("race_k") % 100) / 100).cast("int"),
+                               "mon": (F.col("race_k") % 100).cast("int")})
 
 
 def _points(order: Column, position: Column, table: tuple[int, ...]) -> Column:

@@ -33,20 +33,19 @@ LAYOUTS: dict[str, Layout] = {
 }
 
 
-def write_table(df: DataFrame, path: str, layout: Layout | None = None, files_per_partition: int = 1) -> None:
+def write_table(df: DataFrame, path: str, layout: Layout | None = None) -> None:
     """Replace the table at ``path`` with ``df`` in the given layout.
 
-    Rows are clustered by the partition columns first (a hash repartition), so each
-    table partition is written by ``files_per_partition`` tasks instead of every task.
+    With a layout, rows are range-partitioned on (partition columns, sort columns) and
+    sorted within each task: every task writes one contiguous, sorted slice, so a
+    table partition gets a few large files with tight min/max statistics, and a big
+    table partition (a whole season) is still split across many tasks.
     """
     layout = layout or Layout()
     out = df
-    if layout.partition_by:
-        n = max(1, files_per_partition)
-        salt = (F.abs(F.xxhash64(*layout.sort_by)) % n) if n > 1 and layout.sort_by else F.lit(0)
-        out = out.repartition(*[F.col(c) for c in layout.partition_by], salt)
-    if layout.sort_by:
-        out = out.sortWithinPartitions(*layout.partition_by, *layout.sort_by)
+    keys = [*layout.partition_by, *layout.sort_by]
+    if keys:
+        out = out.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).sortWithinPartitions(*keys)
     writer = out.write.mode("overwrite")
     if layout.partition_by:
         writer = writer.partitionBy(*layout.partition_by)
