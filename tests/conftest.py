@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -21,6 +22,7 @@ def spark():
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.driver.memory", "6g")
+               .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="rb-warehouse-"))
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(session)

@@ -50,3 +50,13 @@ def test_staging_views_catalog(spark, make_staging):
     dropped = store.drop_staging_views(spark)
     assert "stg_status" in dropped and "stgxkeep" not in dropped
     assert store.staging_views(spark) == []
+
+
+def test_catalog_table_with_statistics(spark):
+    df = spark.createDataFrame([(2000, "A", 1), (2001, "B", 2)], "year int, metric string, position int")
+    store.save_catalog_table(spark, df, "rb_stats_t", store.Layout(("metric",), ("year",)))
+    stats = spark.sql("DESCRIBE TABLE EXTENDED rb_stats_t").where("col_name = 'Statistics'").collect()
+    assert stats and "rows" in stats[0].data_type
+    assert spark.table("rb_stats_t").where("metric = 'B'").count() == 1
+    store.drop_table(spark, "rb_stats_t")
+    assert not spark.catalog.tableExists("rb_stats_t")
