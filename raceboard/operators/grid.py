@@ -43,14 +43,26 @@ def fill_absent(n_present: Column, n_periods: Column, value: Column) -> Column:
     return F.when(missed, F.coalesce(value, F.lit(0))).otherwise(value)
 
 
+def calendar_scalar(periods: DataFrame, fields: Sequence[str]) -> Column:
+    """The whole (small) period table as one array value: a scalar subquery, run once.
+
+    Periods are seasons, bounded by the calendar rather than by the data volume.
+    """
+    return periods.agg(F.collect_list(F.struct(*fields)).alias("__calendar")).scalar()
+
+
 def dense_period_metrics(entities: DataFrame, entity_key: str, periods: DataFrame,
                          sums: DataFrame) -> DataFrame:
-    """entities × periods left-joined to per-(year, entity) ``sums``.
+    """Every entity × every period, left-joined to per-(year, entity) ``sums``.
 
     ``periods``: one row per period ``year`` (NULL = the seasons without races) with
-    ``n_races``.  It is bounded by the calendar, so it is broadcast into the cross join.
+    ``n_races``.  Each entity row explodes the period list (a scalar subquery), so the
+    grid is a generator over the entity table: no join is needed to form it, and its
+    size is |entities| × |seasons|, the report's own grain.
     """
-    grid = entities.crossJoin(F.broadcast(periods))
+    cols = entities.columns
+    grid = (entities.select(*cols, F.explode(calendar_scalar(periods, periods.columns)).alias("__p"))
+            .select(*cols, "__p.*"))
     s = sums.where(F.col("year").isNotNull())
     out = grid.join(s, ["year", entity_key], "left")
     return (out

@@ -73,9 +73,9 @@ def _labels(rows: DataFrame, x: F.Column) -> DataFrame:
 
 def end_labels(race: DataFrame) -> DataFrame:
     """Driver-code labels at the end of each line, ordered by final position."""
-    axis = bump_axis(race)
-    rows = race.where(F.col("ending_status").isNotNull()).crossJoin(F.broadcast(axis))
-    return _labels(rows, F.col("x_max")).orderBy("position", "driver_code")
+    x_max = race.agg(F.max("lap") * F.lit(LAP_AXIS_PAD)).scalar()
+    rows = race.where(F.col("ending_status").isNotNull())
+    return _labels(rows, x_max).orderBy("position", "driver_code")
 
 
 def start_labels(race: DataFrame) -> DataFrame:

@@ -81,9 +81,9 @@ def metric_domain(report: DataFrame) -> DataFrame:
 
 def year_domain(races: DataFrame, race_report: DataFrame) -> DataFrame:
     """Season range offered for leaderboards and the range that has lap data."""
-    all_years = races.agg(F.min("year").alias("min_year"), F.max("year").alias("max_year"))
     lap_years = race_report.agg(F.min("year").alias("min_lap_year"), F.max("year").alias("max_lap_year"))
-    return all_years.crossJoin(lap_years)
+    return lap_years.select(races.agg(F.min("year")).scalar().alias("min_year"),
+                            races.agg(F.max("year")).scalar().alias("max_year"), "min_lap_year", "max_lap_year")
 
 
 def adhoc_sql(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str,

@@ -85,10 +85,10 @@ def champion_flag(metrics: DataFrame, sums: DataFrame, entities: DataFrame, enti
     scored = sums.where(F.col("year").isNotNull()).join(entities.select(entity_key), entity_key, "left_semi")
     best = best_of_group(scored, ["year"], [pts.isNull(), -pts, F.col(entity_key)],
                          {"best_points": "points", "best_id": entity_key})
-    lowest = entities.agg(F.min(entity_key).alias("lowest_id"))
-    champs = (periods.select("year").join(best, "year", "left").crossJoin(F.broadcast(lowest))
+    lowest = entities.agg(F.min(entity_key)).scalar()
+    champs = (periods.select("year").join(best, "year", "left")
               .select("year", F.when(F.col("best_points").isNotNull(), F.col("best_id"))
-                      .otherwise(F.col("lowest_id")).cast("bigint").alias("champion_id")))
+                      .otherwise(lowest).cast("bigint").alias("champion_id")))
     m = metrics.alias("m")
     c = F.broadcast(champs).alias("c")
     joined = m.join(c, F.col("m.year").eqNullSafe(F.col("c.year")), "left")
@@ -173,12 +173,20 @@ def _race_context(t: Tables) -> DataFrame:
 def _race_grid(members: DataFrame, key: str, races: DataFrame, sums: DataFrame) -> DataFrame:
     """members-of-season × races-of-season, with the member's result sums for that race.
 
-    No result rows: points NULL, wins/podiums 0.  The races side is one row per race
-    of the calendar (bounded by seasons × races per season, whatever the volume of
-    results), so it is broadcast: joining on ``year`` alone with a shuffle would send a
-    whole season to one task.
+    No result rows: points NULL, wins/podiums 0.  The races of each season are one
+    map value (season -> its races; bounded by the calendar, whatever the volume of
+    results), read once as a scalar subquery; each member row looks up its season and
+    explodes that season's races.  No join on ``year`` alone, which would send a whole
+    season to one task.
     """
-    grid = members.join(F.broadcast(races), "year", "inner").join(sums, ["race_k", key], "left")
+    race_cols = [c for c in races.columns if c != "year"]
+    per_season = (races.where(F.col("year").isNotNull()).groupBy("year")
+                  .agg(F.collect_list(F.struct(*race_cols)).alias("races")))
+    calendar = per_season.agg(F.map_from_entries(F.collect_list(F.struct("year", "races")))).scalar()
+    member_cols = members.columns
+    grid = (members.select(*member_cols, F.explode(F.try_element_at(calendar, F.col("year"))).alias("__r"))
+            .select(*member_cols, "__r.*")
+            .join(sums, ["race_k", key], "left"))
     absent = F.col("n_rows").isNull()
     return (grid
             .withColumn("race_wins", F.when(absent, F.lit(0)).otherwise(F.col("race_wins")))
