@@ -135,16 +135,21 @@ def fact_lap(st: Staging, persist: Persist | None = None) -> DataFrame:
     return final_lap_flag(combined)
 
 
-def conform_all(st: Staging, persist: Persist | None = None) -> dict[str, DataFrame]:
+def builders(st: Staging, persist: Persist | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """One thunk per conformed table (so a caller can plan and write them concurrently)."""
     return {
-        "dim_circuit": dim_circuit(st),
-        "dim_constructor": dim_constructor(st),
-        "dim_driver": dim_driver(st),
-        "dim_race": dim_race(st),
-        "dim_season": dim_season(st),
-        "dim_driver_constructor": dim_driver_constructor(st),
-        "fact_lap": fact_lap(st, persist),
-        "fact_pit_stop": fact_pit_stop(st),
-        "fact_qualifying": fact_qualifying(st),
-        "fact_race_result": fact_race_result(st),
+        "dim_circuit": lambda: dim_circuit(st),
+        "dim_constructor": lambda: dim_constructor(st),
+        "dim_driver": lambda: dim_driver(st),
+        "dim_race": lambda: dim_race(st),
+        "dim_season": lambda: dim_season(st),
+        "dim_driver_constructor": lambda: dim_driver_constructor(st),
+        "fact_lap": lambda: fact_lap(st, persist),
+        "fact_pit_stop": lambda: fact_pit_stop(st),
+        "fact_qualifying": lambda: fact_qualifying(st),
+        "fact_race_result": lambda: fact_race_result(st),
     }
+
+
+def conform_all(st: Staging, persist: Persist | None = None) -> dict[str, DataFrame]:
+    return {name: build() for name, build in builders(st, persist).items()}

@@ -288,9 +288,14 @@ def report_race_metrics(t: Tables, persist: Persist | None = None) -> DataFrame:
     return aged.select(*RACE_COLUMNS)
 
 
-def build_reports(t: Tables, persist: Persist | None = None) -> dict[str, DataFrame]:
+def builders(t: Tables, persist: Persist | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """One thunk per report (so a caller can plan and write them concurrently)."""
     return {
-        "report_seasons_metrics": report_seasons_metrics(t),
-        "report_season_metrics": report_season_metrics(t),
-        "report_race_metrics": report_race_metrics(t, persist),
+        "report_seasons_metrics": lambda: report_seasons_metrics(t),
+        "report_season_metrics": lambda: report_season_metrics(t),
+        "report_race_metrics": lambda: report_race_metrics(t, persist),
     }
+
+
+def build_reports(t: Tables, persist: Persist | None = None) -> dict[str, DataFrame]:
+    return {name: build() for name, build in builders(t, persist).items()}

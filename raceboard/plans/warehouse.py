@@ -77,17 +77,23 @@ class Warehouse:
                 timer(name, time.perf_counter() - started)
             return store.read_table(spark, path)
 
-        def wave(frames: dict[str, DataFrame], layouts: dict[str, store.Layout] | None = None) -> dict[str, DataFrame]:
+        def wave(thunks: dict[str, Callable[[], DataFrame]],
+                 layouts: dict[str, store.Layout] | None = None) -> dict[str, DataFrame]:
+            # each worker plans its table (and writes any work table it persists), then writes it
             layouts = layouts or {}
             with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-                futures = {n: pool.submit(keep, n, df, layouts.get(n)) for n, df in frames.items()}
+                futures = {n: pool.submit(lambda n=n, b=b: keep(n, b(), layouts.get(n))) for n, b in thunks.items()}
                 return {n: f.result() for n, f in futures.items()}
 
-        written = wave({f"work/{n}": df for n, df in adapter.adapter_work(spark, sf_dir).items()})
+        def work_table(name: str, df: DataFrame) -> DataFrame:
+            return keep(f"work/{name}", df)
+
+        intermediates = adapter.adapter_work(spark, sf_dir)
+        written = wave({f"work/{n}": (lambda df=df: df) for n, df in intermediates.items()})
         work = {n.split("/", 1)[1]: df for n, df in written.items()}
         staging = adapter.staging_from_work(spark, sf_dir, work, persist=lambda n, df: keep(f"staging/{n}", df))
-        conformed = wave(conform.conform_all(staging, persist=lambda n, df: keep(f"work/{n}", df)))
-        built = wave(reports.build_reports(conformed, persist=lambda n, df: keep(f"work/{n}", df)), store.LAYOUTS)
+        conformed = wave(conform.builders(staging, persist=work_table))
+        built = wave(reports.builders(conformed, persist=work_table), store.LAYOUTS)
         return cls(spark, staging, conformed, built)
 
 
