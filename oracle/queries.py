@@ -126,7 +126,7 @@ FINAL_SELECTS: dict[str, str] = {
                position, id, name, metric_value, constructor_name, constructor_color, wiki_url
         FROM ({SEASONS_Q})""",
     "frame_links": f"""
-        SELECT year, season_wiki_url FROM (
+        SELECT year, season_wiki_url, 'Cumulative Podiums by Season and Driver/Constructor' AS title FROM (
             SELECT *, ROW_NUMBER() OVER (PARTITION BY year ORDER BY type, position DESC) AS rn FROM ({SEASONS_Q}))
         WHERE rn = 1""",
     "axis_ranges": f"SELECT type, MAX(metric_value) AS axis_max FROM ({SEASONS_Q}) GROUP BY type",
@@ -135,7 +135,8 @@ FINAL_SELECTS: dict[str, str] = {
                type, position, id, name, metric_value, constructor_name, constructor_color, wiki_url
         FROM ({SEASON_Q})""",
     "frame_links_season": f"""
-        SELECT race, race_wiki_url, circuit_wiki_url, season_wiki_url FROM (
+        SELECT race, race_wiki_url, circuit_wiki_url, season_wiki_url,
+               'Cumulative Points by Race and Driver/Constructor in 1999' AS title FROM (
             SELECT *, ROW_NUMBER() OVER (PARTITION BY race ORDER BY race_date, type, position DESC) AS rn
             FROM ({SEASON_Q}))
         WHERE rn = 1""",
@@ -158,7 +159,8 @@ FINAL_SELECTS: dict[str, str] = {
         FROM ({RACE}) WHERE lap = 0""",
     "bump_axis": f"""
         SELECT CAST(MAX(lap) AS DOUBLE) * CAST(1.071 AS DOUBLE) AS x_max,
-               CAST(MAX(position) AS DOUBLE) + CAST(0.2 AS DOUBLE) AS y_max
+               CAST(MAX(position) AS DOUBLE) + CAST(0.2 AS DOUBLE) AS y_max,
+               '{BUMP_SEASON} {BUMP_RACE} Bump Chart' AS title
         FROM ({RACE})""",
     "text_contrast": f"SELECT constructor_k, color, {contrast('color')} AS text_color FROM dim_constructor",
 }

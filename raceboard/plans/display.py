@@ -40,9 +40,23 @@ def frames_season(leaderboard: DataFrame) -> DataFrame:
                       "metric_value", "constructor_name", "constructor_color", "wiki_url")
 
 
-def frame_links(leaderboard: DataFrame, frame: str, links: list[str]) -> DataFrame:
-    """Per frame, the link columns of its first row (type ascending, position descending)."""
-    return best_of_group(leaderboard, [frame], [F.col("type"), -F.col("position")], {c: c for c in links})
+def chart_title(metric: str, cumulative: bool, season: int | None = None) -> str:
+    """Leaderboard chart title: across seasons, or across the races of ``season``."""
+    prefix = "Cumulative " if cumulative else ""
+    if season is None:
+        return f"{prefix}{metric} by Season and Driver/Constructor"
+    return f"{prefix}{metric} by Race and Driver/Constructor in {season}"
+
+
+def bump_title(season: int, race: str) -> str:
+    return f"{season} {race} Bump Chart"
+
+
+def frame_links(leaderboard: DataFrame, frame: str, links: list[str], title: str | None = None) -> DataFrame:
+    """Per frame, the link columns of its first row (type ascending, position descending),
+    plus the chart title when given."""
+    out = best_of_group(leaderboard, [frame], [F.col("type"), -F.col("position")], {c: c for c in links})
+    return out if title is None else out.withColumn("title", F.lit(title))
 
 
 def axis_ranges(leaderboard: DataFrame) -> DataFrame:
@@ -50,9 +64,11 @@ def axis_ranges(leaderboard: DataFrame) -> DataFrame:
     return leaderboard.groupBy("type").agg(F.max("metric_value").alias("axis_max"))
 
 
-def bump_axis(race: DataFrame) -> DataFrame:
-    return race.agg((F.max("lap") * F.lit(LAP_AXIS_PAD)).alias("x_max"),
-                    (F.max("position").cast("double") + F.lit(POSITION_AXIS_PAD)).alias("y_max"))
+def bump_axis(race: DataFrame, title: str | None = None) -> DataFrame:
+    """Axis ranges of the bump chart (and its title when given)."""
+    out = race.agg((F.max("lap") * F.lit(LAP_AXIS_PAD)).alias("x_max"),
+                   (F.max("position").cast("double") + F.lit(POSITION_AXIS_PAD)).alias("y_max"))
+    return out if title is None else out.withColumn("title", F.lit(title))
 
 
 def driver_series(race: DataFrame, focus: str) -> DataFrame:

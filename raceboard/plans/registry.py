@@ -181,16 +181,18 @@ def registry() -> dict[str, Query]:
         # chart data
         "frames_seasons": _seasons_frames,
         "frame_links": lambda spark, sf: display.frame_links(
-            _seasons_rank(SEASONS_PODIUMS)(spark, sf), "year", ["season_wiki_url"]),
+            _seasons_rank(SEASONS_PODIUMS)(spark, sf), "year", ["season_wiki_url"],
+            display.chart_title(SEASONS_PODIUMS[0], SEASONS_PODIUMS[1])),
         "axis_ranges": lambda spark, sf: display.axis_ranges(_seasons_rank(SEASONS_PODIUMS)(spark, sf)),
         "frames_season": _season_frames,
         "frame_links_season": lambda spark, sf: display.frame_links(
             _season_rank(SEASON_POINTS_CUM)(spark, sf), "race",
-            ["race_wiki_url", "circuit_wiki_url", "season_wiki_url"]),
+            ["race_wiki_url", "circuit_wiki_url", "season_wiki_url"],
+            display.chart_title(SEASON_POINTS_CUM[0], SEASON_POINTS_CUM[1], SEASON_POINTS_CUM[2])),
         "driver_series": lambda spark, sf: display.driver_series(_race(spark, sf), BUMP_FOCUS),
         "end_labels": lambda spark, sf: display.end_labels(_race(spark, sf)),
         "start_labels": lambda spark, sf: display.start_labels(_race(spark, sf)),
-        "bump_axis": lambda spark, sf: display.bump_axis(_race(spark, sf)),
+        "bump_axis": lambda spark, sf: display.bump_axis(_race(spark, sf), display.bump_title(BUMP_SEASON, BUMP_RACE)),
         "text_contrast": lambda spark, sf: display.constructor_text_colors(_wh(spark, sf).table("dim_constructor")),
     }
     return q
