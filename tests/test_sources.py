@@ -60,3 +60,25 @@ def test_catalog_table_with_statistics(spark):
     assert spark.table("rb_stats_t").where("metric = 'B'").count() == 1
     store.drop_table(spark, "rb_stats_t")
     assert not spark.catalog.tableExists("rb_stats_t")
+
+
+def test_warehouse_from_staging_csv_matches_table_build(spark, materialize):
+    """All twelve staging inputs through CSV files give the same conformed tables and reports."""
+    from raceboard.plans.warehouse import Warehouse, built_warehouse
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{sf}/lineitem.parquet"):
+        return
+    built = built_warehouse(spark, sf)
+    folder = tempfile.mkdtemp(prefix="rb-staging-")
+    csv_files.write_staging(built.staging, folder)
+    from_csv = Warehouse.from_csv(spark, folder)
+    for name in STAGING:
+        assert from_csv.staging[name].schema == STAGING[name]
+    conformed = materialize(from_csv.conformed)
+    from raceboard.plans import reports
+    for name in ("fact_lap", "fact_race_result", "dim_race", "dim_driver"):
+        a, b = conformed[name], built.table(name)
+        assert a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == b.count(), name
+    rep = reports.report_seasons_metrics(conformed)
+    ref = built.table("report_seasons_metrics").select(*rep.columns)
+    assert rep.exceptAll(ref).count() == 0 and rep.count() == ref.count()
