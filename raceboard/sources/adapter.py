@@ -39,7 +39,7 @@ N_CONSTRUCTORS = 25
 
 # Cell widths for race-wide rankings (rows of one cell are numbered by one task).
 ORDERKEY_CELL = 1 << 24
-PRICE_CELL = 1000.0
+PRICE_CELL = 100.0
 LAP_CELL = 1 << 16
 
 TABLES = ("lineitem", "orders", "supplier", "nation")
