@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raceboard.operators.ranking import HOT_GROUP_ROWS, id_cell, running_count
+from raceboard.operators.ranking import AUTO, id_cell, running_count, tuning
 
 
 def running_total(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column],
@@ -23,13 +23,14 @@ def running_total(df: DataFrame, partition_by: Sequence[str], order_by: Sequence
 
 
 def episode_number(df: DataFrame, partition_by: Sequence[str], order_col: str, flag: Column,
-                   name: str, cell_width: int = 1 << 16) -> DataFrame:
+                   name: str, cell_width: int | None = None) -> DataFrame:
     """1 + number of flagged rows up to and including the current order value.
 
     Default RANGE frame on purpose: rows sharing ``order_col`` (two stops on one lap)
     see each other's flags, so they land in the same episode.  A hot partition is
     counted in ``order_col`` cells (see ``ranking.running_count``).
     """
+    width = cell_width or tuning(df, "lapCell", 1 << 16)
     out = running_count(df, partition_by, order_col, flag, "__flags",
-                        cells=[(id_cell(order_col, cell_width), True)], hot_rows=HOT_GROUP_ROWS)
+                        cells=[(id_cell(order_col, width), True)], hot_rows=AUTO)
     return out.withColumn(name, (F.col("__flags") + F.lit(1)).cast("int")).drop("__flags")

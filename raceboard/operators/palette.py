@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raceboard.operators.ranking import id_cell, ordinal
+from raceboard.operators.ranking import id_cell, ordinal, tuning
 
 # --- fixed values: the 24-colour qualitative palette, in cycle order --------------
 PALETTE = (
@@ -24,6 +24,6 @@ def cycle_palette(df: DataFrame, key: str, out: str, palette: tuple[str, ...] =
     The rank is global (the whole table in key order) but computed with the cell-bucketed
     ``ordinal``, so no single task has to see the table whole.
     """
-    ranked = ordinal(df, [], [F.col(key).asc()], "__rank", cells=[(id_cell(key, KEY_CELL), True)])
+    ranked = ordinal(df, [], [F.col(key).asc()], "__rank", cells=[(id_cell(key, tuning(df, "idCell", KEY_CELL)), True)])
     colours = F.array(*[F.lit(c) for c in palette])
     return ranked.withColumn(out, F.element_at(colours, (F.col("__rank") - 1) % len(palette) + 1)).drop("__rank")

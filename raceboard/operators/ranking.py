@@ -31,6 +31,19 @@ Cell = tuple[Column, bool]
 DEFAULT_ID_CELL = 1 << 20
 # A group with more rows than this is numbered through cells instead of one task.
 HOT_GROUP_ROWS = 1 << 22
+# Marker for "read the hot-group threshold from the session" (see ``tuning``).
+AUTO = -1
+
+
+def tuning(df: DataFrame, name: str, default: int) -> int:
+    """An integer knob from the session conf ``spark.raceboard.<name>`` (else ``default``).
+
+    Knobs: ``hotGroupRows`` (hot-group threshold), ``idCell``, ``lapCell``, ``orderKeyCell``,
+    ``priceCell`` (cell widths).  Cluster jobs size them to executor memory; tests shrink
+    them to push every code path through the cell-numbering branch.
+    """
+    value = df.sparkSession.conf.get(f"spark.raceboard.{name}", None)
+    return int(value) if value else default
 
 
 def _sort(c: Column, ascending: bool) -> Column:
@@ -80,6 +93,8 @@ def _scan(df: DataFrame, partition_by: Sequence[str], cells: Sequence[Cell] | No
     partition_by = list(partition_by)
     if not cells:
         return df.withColumn(name, local(Window.partitionBy(*partition_by)))
+    if hot_rows == AUTO:
+        hot_rows = tuning(df, "hotGroupRows", HOT_GROUP_ROWS)
     if hot_rows is None or not partition_by:  # one group: the whole table goes through cells
         return _cell_scan(df, partition_by, cells, measure, local, name)
     cold, warm = split_hot(df, partition_by, hot_rows, sizes)
@@ -119,12 +134,13 @@ def id_cell(id_col: str | Column, width: int) -> Column:
 
 
 def leaderboard_position(df: DataFrame, partition_by: Sequence[str], value: str, id_col: str,
-                         name: str = "position", id_cell_width: int = DEFAULT_ID_CELL) -> DataFrame:
+                         name: str = "position", id_cell_width: int | None = None) -> DataFrame:
     """Position by ``value`` DESC (NULLs last), ties by ``id_col`` ASC, within ``partition_by``.
 
     Cells are (value, id bucket): leaderboard values are few distinct numbers, so the
     cell table stays small while the numbered partitions never exceed the id bucket.
     """
+    id_cell_width = id_cell_width or tuning(df, "idCell", DEFAULT_ID_CELL)
     return ordinal(
         df, partition_by,
         [F.col(value).desc_nulls_last(), F.col(id_col).asc_nulls_last()],

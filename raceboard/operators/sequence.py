@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raceboard.functions.columns import is_lapped_status
-from raceboard.operators.ranking import HOT_GROUP_ROWS, id_cell, ordinal
+from raceboard.operators.ranking import AUTO, id_cell, ordinal, tuning
 
 # Laps per cell when a hot (race, driver) is numbered in pieces.
 LAP_CELL = 1 << 16
@@ -55,5 +55,5 @@ def final_lap_flag(laps: DataFrame, name: str = "is_final") -> DataFrame:
     """
     order = [F.col("lap").desc(), F.col("position").asc_nulls_last(), F.col("milliseconds").asc_nulls_last()]
     ranked = ordinal(laps, ["race_k", "driver_k"], order, "__final_rank",
-                     cells=[(id_cell("lap", LAP_CELL), False)], hot_rows=HOT_GROUP_ROWS)
+                     cells=[(id_cell("lap", tuning(laps, "lapCell", LAP_CELL)), False)], hot_rows=AUTO)
     return ranked.withColumn(name, F.col("__final_rank") == 1).drop("__final_rank")

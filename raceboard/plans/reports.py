@@ -23,7 +23,7 @@ from raceboard.functions.columns import (
 )
 from raceboard.operators.cumulative import episode_number, running_total
 from raceboard.operators.grid import dense_period_metrics, result_sums
-from raceboard.operators.ranking import HOT_GROUP_ROWS, best_of_group, id_cell, leaderboard_position, ordinal
+from raceboard.operators.ranking import AUTO, best_of_group, id_cell, leaderboard_position, ordinal, tuning
 from raceboard.operators.sequence import LAP_CELL
 from raceboard.operators.reshape import unpivot_metrics, with_running_variant
 
@@ -284,7 +284,7 @@ def report_race_metrics(t: Tables, persist: Persist | None = None) -> DataFrame:
     aged = ordinal(data, ["year", "race_name", "driver_name", "stint_number"],
                    [F.col("lap").asc(), F.col("driver_code").asc_nulls_first(),
                     F.col("pit_stop_time").asc_nulls_first(), F.col("pit_stop_milliseconds").asc_nulls_first()],
-                   "tire_age", cells=[(id_cell("lap", LAP_CELL), True)], hot_rows=HOT_GROUP_ROWS)
+                   "tire_age", cells=[(id_cell("lap", tuning(data, "lapCell", LAP_CELL)), True)], hot_rows=AUTO)
     return aged.select(*RACE_COLUMNS)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from raceboard.functions.columns import clock_text
 from raceboard.operators.palette import PALETTE, cycle_palette
-from raceboard.operators.ranking import HOT_GROUP_ROWS, id_cell, ordinal
+from raceboard.operators.ranking import AUTO, id_cell, ordinal, tuning
 from raceboard.sources.schemas import STAGING, conform_columns
 
 # --- fixed values of the adapter mapping -----------------------------------------
@@ -39,7 +39,7 @@ N_CONSTRUCTORS = 25
 
 # Cell widths for race-wide rankings (rows of one cell are numbered by one task).
 ORDERKEY_CELL = 1 << 24
-PRICE_CELL = 100.0
+PRICE_CELL = 100
 LAP_CELL = 1 << 16
 
 TABLES = ("lineitem", "orders", "supplier", "nation")
@@ -109,10 +109,11 @@ def _results(totals: DataFrame, kind: str) -> DataFrame:
     base = totals.where(F.col(n) > 0).select(
         "race_k", "driver_k", "n_lines", "total_ms", "best_ms",
         F.col(mo).alias("mo"), F.col(score).alias("score"), F.col(n).alias("n"))
+    key_cell = tuning(totals, "orderKeyCell", ORDERKEY_CELL)
     ranked = ordinal(base, ["race_k"], [F.col("mo").asc(), F.col("driver_k").asc()], "start_order",
-                     cells=[(id_cell("mo", ORDERKEY_CELL), True)])
+                     cells=[(id_cell("mo", key_cell), True)])
     ranked = ordinal(ranked, ["race_k"], [F.col("score").desc(), F.col("driver_k").asc()], "finish_order",
-                     cells=[(F.col("score"), False), (id_cell("driver_k", ORDERKEY_CELL), True)])
+                     cells=[(F.col("score"), False), (id_cell("driver_k", key_cell), True)])
     status_id = ((F.col("finish_order") + F.col("race_k")) % 10).cast("int")
     position = F.when(status_id.isin(0, 3), F.lit(None).cast("int")).otherwise(F.col("finish_order"))
     finished = position.isNotNull()
@@ -152,13 +153,14 @@ def laps_of_results(lines: DataFrame, totals: DataFrame) -> DataFrame:
              F.col("l_extendedprice").asc()]
     sizes = totals.where(F.col("main_n") > 0).select("race_k", "driver_k", F.col("n_lines").alias("__size"))
     return ordinal(laps, ["race_k", "driver_k"], order, "lap",
-                   cells=[(id_cell("l_orderkey", ORDERKEY_CELL), True)], hot_rows=HOT_GROUP_ROWS, sizes=sizes)
+                   cells=[(id_cell("l_orderkey", tuning(lines, "orderKeyCell", ORDERKEY_CELL)), True)],
+                   hot_rows=AUTO, sizes=sizes)
 
 
 def lap_times(laps: DataFrame) -> DataFrame:
     ranked = ordinal(laps, ["race_k", "lap"],
                      [F.col("l_extendedprice").desc(), F.col("driver_k").asc()], "lap_position",
-                     cells=[(F.floor(F.col("l_extendedprice") / PRICE_CELL).cast("bigint"), False)])
+                     cells=[(id_cell("l_extendedprice", tuning(laps, "priceCell", PRICE_CELL)), False)])
     ms = F.floor("l_extendedprice").cast("bigint")
     return ranked.select(
         F.col("race_k").alias("raceId"), F.col("driver_k").alias("driverId"),
@@ -168,7 +170,7 @@ def lap_times(laps: DataFrame) -> DataFrame:
 
 def pit_stops(laps: DataFrame) -> DataFrame:
     stops = ordinal(laps.where(F.col("l_quantity") >= 45), ["race_k", "driver_k"], [F.col("lap").asc()], "stop",
-                    cells=[(id_cell("lap", LAP_CELL), True)], hot_rows=HOT_GROUP_ROWS)
+                    cells=[(id_cell("lap", tuning(laps, "lapCell", LAP_CELL)), True)], hot_rows=AUTO)
     ms = F.floor(F.col("l_tax") * 100000).cast("bigint")
     secs = F.concat(((ms - ms % 1000) / 1000).cast("bigint").cast("string"), F.lit("."),
                     F.lpad((ms % 1000).cast("string"), 3, "0"))
