@@ -19,10 +19,13 @@ LEADERBOARD_COLUMNS = ("year", "type", "id", "name", "constructor_name", "constr
                        "season_wiki_url", "metric_value", "position")
 
 
+MAX_TOP_N = 1000  # the dashboard's bound on N
+
+
 def _check_top_n(top: int) -> int:
     top = int(top)
-    if top < 1:
-        raise ValueError("top_n must be at least 1")
+    if not 1 <= top <= MAX_TOP_N:
+        raise ValueError(f"top_n must be between 1 and {MAX_TOP_N}")
     return top
 
 
@@ -30,18 +33,24 @@ def seasons_rank(report: DataFrame, metric: str, cumulative: bool, start_year: i
     """Top ``top`` per season and type for ``metric`` from ``start_year`` on.
 
     Cumulative: totals run from ``start_year`` (per entity, seasons in order) and are
-    re-ranked per season; the rank + filter is planned as a WindowGroupLimit.
+    re-ranked per season.  Only the four narrow columns are shuffled for the running
+    total and the rank (planned as a partial WindowGroupLimit); the winners (at most
+    seasons × 2 × ``top`` rows) are broadcast back to pick up names, colours and links
+    from a pruned scan, so the wide columns never cross a shuffle.
     """
     top = _check_top_n(top)
     m = report.where((F.col("year") >= F.lit(int(start_year))) & (F.col("metric") == F.lit(metric)))
     if not cumulative:
         return m.where(F.col("position") <= top).select(*LEADERBOARD_COLUMNS)
-    m = running_total(m.drop("position"), ["id", "type"], [F.col("year").asc()], "metric_value",
-                      "cumulative_metric_value")
-    ranked = top_n(m, ["year", "type"], [F.col("cumulative_metric_value").desc_nulls_last(), F.col("id").asc()],
-                   top, "position")
-    return ranked.drop("metric_value").withColumnRenamed("cumulative_metric_value", "metric_value") \
-        .select(*LEADERBOARD_COLUMNS)
+    narrow = running_total(m.select("year", "type", "id", "metric_value"), ["id", "type"], [F.col("year").asc()],
+                           "metric_value", "cumulative_metric_value")
+    winners = top_n(narrow, ["year", "type"], [F.col("cumulative_metric_value").desc_nulls_last(), F.col("id").asc()],
+                    top, "position").select("year", "type", "id", "cumulative_metric_value", "position")
+    attrs = m.select("year", "type", "id", "name", "constructor_name", "constructor_color", "wiki_url",
+                     "season_wiki_url")
+    return (attrs.join(F.broadcast(winners), ["year", "type", "id"], "inner")
+            .withColumnRenamed("cumulative_metric_value", "metric_value")
+            .select(*LEADERBOARD_COLUMNS))
 
 
 def season_rank(report: DataFrame, metric: str, cumulative: bool, season: int, top: int) -> DataFrame:
