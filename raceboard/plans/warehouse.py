@@ -55,46 +55,70 @@ class Warehouse:
             return self.conformed[name]
         return self.reports[name]
 
+    def write(self, out_dir: str, timer: Callable[[str, float], None] | None = None,
+              parallel: int = 4) -> "Warehouse":
+        """Write this warehouse's conformed tables and reports (e.g. one read from CSV)."""
+        return _build(self.spark, lambda keep: self.staging, out_dir, timer, parallel)
+
+    @classmethod
+    def open(cls, spark: SparkSession, out_dir: str) -> "Warehouse":
+        """A warehouse over tables an earlier ``materialize`` wrote to ``out_dir``."""
+        out_dir = out_dir.rstrip("/")
+        conformed = {n: store.read_table(spark, f"{out_dir}/{n}") for n in conform.builders({}).keys()}
+        built = {n: store.read_table(spark, f"{out_dir}/{n}") for n in reports.builders({}).keys()}
+        return cls(spark, {}, conformed, built)
+
     @classmethod
     def materialize(cls, spark: SparkSession, sf_dir: str, out_dir: str,
                     timer: Callable[[str, float], None] | None = None, parallel: int = 4) -> "Warehouse":
         """Build every table from the star-schema tables in ``sf_dir`` into ``out_dir``.
 
         Three waves: the adapter's two shared intermediates, the ten conformed tables,
-        the three reports.  Tables of one wave do not depend on each other, so their
-        writes are submitted as concurrent Spark jobs (``parallel`` at a time), which
-        keeps the cluster busy while a small table's job finishes.  Staging inputs are
-        cheap projections of the intermediates and stay lazy.
+        the three reports.  Tables of one wave do not depend on each other, so each is
+        planned and written by its own worker as a concurrent Spark job (``parallel`` at
+        a time), which keeps the cluster busy while a small table's job finishes.  Ranked
+        staging inputs and the lap work tables are written where several readers or a
+        hot-group split would otherwise recompute them.
         ``timer(table, seconds)`` is told how long each table took to write.
         """
-        out_dir = out_dir.rstrip("/")
-
-        def keep(name: str, df: DataFrame, layout: store.Layout | None = None) -> DataFrame:
-            path = f"{out_dir}/{name}"
-            started = time.perf_counter()
-            store.write_table(df, path, layout)
-            if timer:
-                timer(name, time.perf_counter() - started)
-            return store.read_table(spark, path)
-
-        def wave(thunks: dict[str, Callable[[], DataFrame]],
-                 layouts: dict[str, store.Layout] | None = None) -> dict[str, DataFrame]:
-            # each worker plans its table (and writes any work table it persists), then writes it
-            layouts = layouts or {}
-            with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-                futures = {n: pool.submit(lambda n=n, b=b: keep(n, b(), layouts.get(n))) for n, b in thunks.items()}
-                return {n: f.result() for n, f in futures.items()}
-
-        def work_table(name: str, df: DataFrame) -> DataFrame:
-            return keep(f"work/{name}", df)
-
-        intermediates = adapter.adapter_work(spark, sf_dir)
-        written = wave({f"work/{n}": (lambda df=df: df) for n, df in intermediates.items()})
-        work = {n.split("/", 1)[1]: df for n, df in written.items()}
-        staging = adapter.staging_from_work(spark, sf_dir, work, persist=lambda n, df: keep(f"staging/{n}", df))
-        conformed = wave(conform.builders(staging, persist=work_table))
-        built = wave(reports.builders(conformed, persist=work_table), store.LAYOUTS)
-        return cls(spark, staging, conformed, built)
+        def staging(keep: Callable[..., DataFrame]) -> dict[str, DataFrame]:
+            intermediates = adapter.adapter_work(spark, sf_dir)
+            written = _wave(keep, {f"work/{n}": (lambda df=df: df) for n, df in intermediates.items()}, parallel)
+            work = {n.split("/", 1)[1]: df for n, df in written.items()}
+            return adapter.staging_from_work(spark, sf_dir, work, persist=lambda n, df: keep(f"staging/{n}", df))
+
+        return _build(spark, staging, out_dir, timer, parallel)
+
+
+def _wave(keep: Callable[..., DataFrame], thunks: dict[str, Callable[[], DataFrame]], parallel: int,
+          layouts: dict[str, store.Layout] | None = None) -> dict[str, DataFrame]:
+    """Plan and write independent tables concurrently; each worker plans its own table
+    (writing any work table it persists) and then writes it."""
+    layouts = layouts or {}
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        futures = {n: pool.submit(lambda n=n, b=b: keep(n, b(), layouts.get(n))) for n, b in thunks.items()}
+        return {n: f.result() for n, f in futures.items()}
+
+
+def _build(spark: SparkSession, make_staging: Callable[[Callable[..., DataFrame]], dict[str, DataFrame]],
+           out_dir: str, timer: Callable[[str, float], None] | None, parallel: int) -> Warehouse:
+    out_dir = out_dir.rstrip("/")
+
+    def keep(name: str, df: DataFrame, layout: store.Layout | None = None) -> DataFrame:
+        path = f"{out_dir}/{name}"
+        started = time.perf_counter()
+        store.write_table(df, path, layout)
+        if timer:
+            timer(name, time.perf_counter() - started)
+        return store.read_table(spark, path)
+
+    def work_table(name: str, df: DataFrame) -> DataFrame:
+        return keep(f"work/{name}", df)
+
+    staging = make_staging(keep)
+    conformed = _wave(keep, conform.builders(staging, persist=work_table), parallel)
+    built = _wave(keep, reports.builders(conformed, persist=work_table), parallel, store.LAYOUTS)
+    return Warehouse(spark, staging, conformed, built)
 
 
 _BUILT: dict[tuple, Warehouse] = {}
