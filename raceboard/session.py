@@ -36,20 +36,31 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("RACEBOARD_DRIVER_MEMORY", "8g"))
+    if os.environ.get("RACEBOARD_CHECKPOINT_DIR"):
+        builder = builder.config("spark.checkpoint.dir", os.environ["RACEBOARD_CHECKPOINT_DIR"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+_FALLBACK_DIR: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when it is missing (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a local default only when it is unset (tests).
+
+    ``spark.checkpoint.dir`` cannot be changed on a running session, so when it is
+    missing the fallback is kept here and handed to ``setCheckpointDir`` instead.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = os.environ.get("RACEBOARD_CHECKPOINT_DIR", "/tmp/raceboard-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if configured:
+        return configured
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK_DIR:
+        _FALLBACK_DIR[app] = os.environ.get("RACEBOARD_CHECKPOINT_DIR", "/tmp/raceboard-checkpoints")
+        spark.sparkContext.setCheckpointDir(_FALLBACK_DIR[app])
+    return _FALLBACK_DIR[app]
 
 
 def checkpoint_root(spark: SparkSession) -> str:
