@@ -33,3 +33,23 @@ def test_no_python_udfs_in_reports(spark):
         text = open(path).read()
         assert "udf(" not in text and "pandas_udf" not in text, path
     importlib.import_module("raceboard.plans.reports")
+
+
+FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def test_no_python_eval_or_nested_loop_joins(spark):
+    import os
+
+    import __spark_entry__ as entry
+    from raceboard.plans import reports
+    from raceboard.plans.warehouse import built_warehouse
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{sf}/lineitem.parquet"):
+        return
+    wh = built_warehouse(spark, sf)
+    plans = {name: plan_of(build()) for name, build in reports.builders(wh.conformed).items()}
+    plans.update({name: plan_of(fn(spark, sf)) for name, fn in entry.queries().items()
+                  if not name.startswith("stg_")})
+    bad = {name: op for name, p in plans.items() for op in FORBIDDEN if op in p}
+    assert not bad
