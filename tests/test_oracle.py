@@ -32,6 +32,15 @@ def duck():
     return con
 
 
+ARROW_OF = {"int": "int32", "bigint": "int64", "double": "double", "string": "string", "boolean": "bool"}
+
+
+def arrow_types(duck, sql):
+    rel = duck.sql(sql)
+    table = rel.arrow() if hasattr(rel, "arrow") else rel.to_arrow_table()
+    return {f.name: str(f.type).replace("large_string", "string") for f in table.schema}
+
+
 def test_all_queries_match_oracle(spark, duck):
     import __spark_entry__ as entry
     qs, sqls = entry.queries(), entry.oracle_sql()
@@ -44,6 +53,9 @@ def test_all_queries_match_oracle(spark, duck):
         ocols, orows = [d[0] for d in res.description], res.fetchall()
         if sorted(cols) != sorted(ocols) or digest(rows, cols) != digest(orows, ocols):
             bad.append((name, len(rows), len(orows)))
+        types = {f.name: ARROW_OF.get(f.dataType.simpleString()) for f in df.schema.fields}
+        if types != arrow_types(duck, sqls[name]):
+            bad.append((name, "types"))
     assert not bad
 
 
