@@ -20,7 +20,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from raceboard.plans import conform, reports
-from raceboard.session import scratch_path
+from raceboard.session import application_id, scratch_path
 from raceboard.sources import adapter, csv_files, store
 
 
@@ -139,7 +139,7 @@ def _input_signature(sf_dir: str) -> tuple:
 
 def built_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The materialized warehouse for ``sf_dir``, built once per Spark application."""
-    key = (spark.sparkContext.applicationId, os.path.realpath(sf_dir), _input_signature(sf_dir))
+    key = (application_id(spark), os.path.realpath(sf_dir), _input_signature(sf_dir))
     with _LOCK:
         wh = _BUILT.get(key)
         if wh is None:

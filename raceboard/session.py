@@ -56,13 +56,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    app = spark.sparkContext.applicationId
+    app = application_id(spark)
     if app not in _FALLBACK_DIR:
         _FALLBACK_DIR[app] = os.environ.get("RACEBOARD_CHECKPOINT_DIR", "/tmp/raceboard-checkpoints")
-        spark.sparkContext.setCheckpointDir(_FALLBACK_DIR[app])
+        try:
+            spark.sparkContext.setCheckpointDir(_FALLBACK_DIR[app])
+        except Exception:  # noqa: BLE001 - no SparkContext on a remote (Connect) session
+            pass
     return _FALLBACK_DIR[app]
 
 
+def application_id(spark: SparkSession) -> str:
+    """The running application's id (works on classic and remote sessions)."""
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written intermediates (the cluster-wide checkpoint dir)."""
     return ensure_checkpoint_dir(spark).rstrip("/")
