@@ -36,6 +36,12 @@ class Warehouse:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
+        """Fully lazy warehouse over the test tables: one plan from line items to reports.
+
+        Fine for inspecting plans of single steps; real runs use ``materialize``, whose
+        written stage boundaries keep each plan small (the hot-group splits read their
+        input three times, which a lazy chain would multiply).
+        """
         return cls(spark, adapter.staging_from_tables(spark, sf_dir))
 
     @classmethod
