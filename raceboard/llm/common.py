@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceboard.session import scratch_path
+from raceboard.session import scratch_path, share_code
 
 
 def stored(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
@@ -51,5 +51,11 @@ def null_id(df: DataFrame, name: str = "doc_id") -> DataFrame:
     return df.withColumn(name, F.when(~F.col(f"no_{name}"), F.col(name))).drop(f"no_{name}")
 
 
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInPandas`` by workers that find this package (where the driver has it)."""
+    share_code(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from raceboard.llm.common import bare_id, keyed, null_id, stored
+from raceboard.llm.common import bare_id, keyed, map_batches, null_id, stored
+from raceboard.session import share_code
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks of these characters are cut and merged here; any other goes through the tokenizer file as a whole.
@@ -127,7 +128,7 @@ def pieces(docs: DataFrame, window: int = 4096, piece: int = 1024, end_id: int =
                     rows.append((d, no, h, start, length, zlib.crc32(part), n, part)[:len(names)])
             yield pd.DataFrame(rows, columns=names)
 
-    return null_id(bare_id(keyed(docs, doc_id, text)).mapInPandas(run, schema))
+    return null_id(map_batches(bare_id(keyed(docs, doc_id, text)), run, schema))
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -201,6 +202,7 @@ def pack(cut: DataFrame, window: int = 4096, block_windows: int = 128) -> DataFr
     """``cut`` (of ``pieces``, stored) with ``sequence_id`` and ``offset``."""
     loose = cut.where(F.col("length") < window).agg(F.sum("length")).first()[0] or 0
     blocks = max(1, round(loose / (window * block_windows)))
+    share_code(cut.sparkSession)
     cut = bare_id(cut.drop("ids")).withColumn("block", F.pmod(F.xxhash64("no_doc_id", "doc_id", "h", "start"), F.lit(blocks)))
     columns = [c for c in cut.columns if c != "block"]
     schema = ", ".join(f"{c} {'boolean' if c == 'no_doc_id' else 'bigint'}" for c in [*columns, "sequence_id", "offset"])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raceboard.llm.common import bare_id, keyed, null_id, stored
+from raceboard.llm.common import bare_id, keyed, map_batches, null_id, stored
 
 SEED = 42
 PIVOTS = [random.Random(1000 + i).getrandbits(64) for i in range(8)]
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
             yield pd.DataFrame({"doc_id": batch["doc_id"], "no_doc_id": batch["no_doc_id"], "h": batch["h"],
                                 "fp": np.array([fingerprint(t, shingle) for t in batch["text"]], np.int64)})
 
-    return null_id(bare_id(keyed(docs, doc_id, text)).mapInPandas(run, "doc_id bigint, no_doc_id boolean, h bigint, fp bigint"))
+    return null_id(map_batches(bare_id(keyed(docs, doc_id, text)), run, "doc_id bigint, no_doc_id boolean, h bigint, fp bigint"))
 
 
 def _signed(value: int) -> int:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raceboard.llm.common import bare_id, keyed, null_id, stored
+from raceboard.llm.common import bare_id, keyed, map_batches, null_id, stored
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýÿœß"
 SIZE = len(LETTERS) + 1  # 0 is the word boundary, and any other character
@@ -42,11 +42,14 @@ _AT = {c: i + 1 for i, c in enumerate(LETTERS)}
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
               "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 #: Costs (negative log probabilities) of the channel.
-SIGN, DROP, RUN, JOIN = 1.0, 2.0, 0.5, 0.5
+SIGN, DROP, RUN, JOIN, BREAK = 0.5, 5.0, 0.5, 0.2, 1.5
 #: Longer stretches are taken for identifiers, not for words.
 LONGEST = 32
+#: Signs of addresses and assignments: such a stretch is no disguised word.
+PLAIN = re.compile(r"[=/\\:]|^www\.")
 EDGE = "\"'.,;:!?()[]{}<>|*#%&$-_=+~/\\`^«»…“”’"
-SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\S)")
+LEFT_EDGE = EDGE.replace("$", "")
+SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\w)")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = frozenset(LOOKALIKES)
@@ -72,7 +75,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"gram": seen, "n": total[seen]})
 
-    return (docs.select(F.col(text).cast("string").alias("text")).mapInPandas(run, "gram bigint, n bigint")
+    return (map_batches(docs.select(F.col(text).cast("string").alias("text")), run, "gram bigint, n bigint")
             .groupBy("gram").agg(F.sum("n").alias("n")))
 
 
@@ -108,7 +111,7 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
         elif c.isalnum():
             out.append([("", DROP)])
         else:  # a separator: joins what it parts, or ends a word
-            out.append([("", JOIN), (" ", JOIN)])
+            out.append([("", JOIN), (" ", BREAK)])
         at = end
     return out
 
@@ -140,13 +143,13 @@ class Restorer:
 
     def reading(self, chunk: str) -> str | None:
         """The restored form of a chunk without white space, or None if it has but one reading."""
-        core = chunk.strip(EDGE)
-        if not core or core.isalpha() and not TRIPLE.search(core) or len(core) > LONGEST:
+        core = chunk.rstrip(EDGE).lstrip(LEFT_EDGE)
+        if not core or core.isalpha() and not TRIPLE.search(core) or len(core) > LONGEST or PLAIN.search(core):
             return None
         letters = sum(c.isalpha() for c in core)
         signs = sum(c in _SIGNS for c in core)
         inner = sum(not c.isalnum() and c not in _SIGNS for c in core)
-        if letters < 2 or letters < signs or not (signs or TRIPLE.search(core) or inner >= 2 and inner + 1 >= letters):
+        if letters < 2 or 2 * letters < signs or not (signs or TRIPLE.search(core) or inner >= 2 and letters <= 2 * (inner + 1)):
             return None
         return decode(core, self.model)
 
@@ -198,7 +201,7 @@ def restored(docs: DataFrame, model: np.ndarray, doc_id: str = "doc_id", text: s
         for batch in batches:
             yield batch.assign(text=[restorer.restore(t) for t in batch["text"]])
 
-    return null_id(bare_id(keyed(docs, doc_id, text)).mapInPandas(run, "doc_id bigint, h bigint, text string, no_doc_id boolean"))
+    return null_id(map_batches(bare_id(keyed(docs, doc_id, text)), run, "doc_id bigint, h bigint, text string, no_doc_id boolean"))
 
 
 def features(word: str) -> list[str]:
@@ -210,14 +213,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = 10_000, least: int = 5, precision: float = 0.5,
+def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = 10_000, least: int = 5, share: float = 0.02, precision: float = 0.9,
                 doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict[str, float]:
     """Feature to precision, from at most ``max_train`` labelled rows (those with the smallest
     hash of their id) that are not held out.
 
     Training texts with the same sketch (three smallest word hashes) count once, so copies of
-    one text lend its words no weight. A feature needs ``least`` toxic texts and half a percent
-    of them.
+    one text lend its words no weight. A feature needs ``least`` toxic texts and ``share`` of
+    them all, and ``precision`` of its texts toxic.
     """
     marks = (labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("mark"))
              .where(F.col("id").isNotNull() & F.col("mark").isNotNull() & ~held_out(F.col("id")))
@@ -230,7 +233,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train
         for batch in batches:
             yield pd.DataFrame({"mark": batch["mark"], "words": [sorted(restorer.text_words(t)) for t in batch["text"]]})
 
-    bags = train.select("mark", "text").mapInPandas(words, "mark int, words array<string>")
+    bags = map_batches(train.select("mark", "text"), words, "mark int, words array<string>")
     sketch = F.slice(F.sort_array(F.transform("words", lambda w: F.xxhash64(w))), 1, 3)
     bags = stored(bags.groupBy(sketch.alias("sketch")).agg(F.max(F.struct("mark", "words")).alias("b")).select("b.*"), "training-bags")
     toxic, clean = (bags.where(F.col("mark") == m).count() for m in (1, 0))
@@ -245,11 +248,11 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train
         names = [*n[0].keys() | n[1].keys()]
         yield pd.DataFrame({"f": names, "t": [n[1][f] for f in names], "c": [n[0][f] for f in names]}).astype({"f": str})
 
-    need = max(least, math.ceil(0.005 * toxic))
-    table = (bags.mapInPandas(seen, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    need = max(least, math.ceil(share * toxic))
+    table = (map_batches(bags, seen, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
              .where(F.col("t") >= need))
     prior = toxic / (toxic + clean)
-    rows = table.withColumn("p", (F.col("t") + 3 * prior) / (F.col("t") + F.col("c") + 3)).where(F.col("p") >= precision)
+    rows = table.where(F.col("t") >= precision * (F.col("t") + F.col("c"))).withColumn("p", (F.col("t") + 3 * prior) / (F.col("t") + F.col("c") + 3))
     return {r["f"]: float(r["p"]) for r in rows.select("f", "p").collect()}  # bounded by max_train texts
 
 
@@ -290,7 +293,7 @@ def scored(docs: DataFrame, model: np.ndarray, lexicon: dict[str, float], base:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "no_doc_id": batch["no_doc_id"], "h": batch["h"],
                                 "score": [score(t) for t in batch["text"]]})
 
-    return null_id(bare_id(keyed(docs, doc_id, text)).mapInPandas(run, "doc_id bigint, no_doc_id boolean, h bigint, score double"))
+    return null_id(map_batches(bare_id(keyed(docs, doc_id, text)), run, "doc_id bigint, no_doc_id boolean, h bigint, score double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 10_000, doc_id: str = "doc_id", text: str = "text",

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceboard.llm.common import bare_id, null_id, stored
+from raceboard.llm.common import bare_id, map_batches, null_id, stored
 
 STEP = 1 << 16
 RECORD = "page_id bigint, no_page_id boolean, target string, record_type string, refers_to bigint, no_refers_to boolean, payload_bytes bigint, payload_digest string, verified boolean"
@@ -74,7 +74,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, page_id: str =
                 for p, no_p, u, b, r, no_r, d in batch.itertuples(index=False)]})
 
     rows = bare_id(bare_id(rows, "page_id"), "refers_to")
-    members = rows.select("page_id", "no_page_id", "url", "body", "refers_to", "no_refers_to", "digest").mapInPandas(run, "member binary")
+    columns = ["page_id", "no_page_id", "url", "body", "refers_to", "no_refers_to", "digest"]
+    members = map_batches(rows.select(*columns), run, "member binary")
     (members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0")
      .option("maxRecordsPerFile", records_per_file).text(path))
 
@@ -186,5 +187,5 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
                         rows = []
                 yield pd.DataFrame(rows, columns=names)
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    rows = map_batches(spark.read.format("binaryFile").load(path).select("content"), run, schema)
     return null_id(null_id(rows, "page_id"), "refers_to")
