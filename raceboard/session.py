@@ -71,6 +71,18 @@ def application_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id", None) or str(id(spark))
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder the driver has it in.
+
+    A cluster that got the package with ``--py-files`` or an installed wheel does not need
+    this; it matters when the driver only has the folder on its own path.
+    """
+    context = getattr(spark, "_sc", None)  # none on a remote (Connect) session
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if context is not None and root not in context.environment.get("PYTHONPATH", "").split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, context.environment.get("PYTHONPATH")]))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written intermediates (the cluster-wide checkpoint dir)."""
     return ensure_checkpoint_dir(spark).rstrip("/")
