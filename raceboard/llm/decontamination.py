@@ -99,7 +99,8 @@ def phrase_matches(index: DataFrame, vocab: DataFrame, items: DataFrame, size: i
     terms = windows.select(*key, "tid").distinct()
     probes = stored(spread.select(*place, "it", "ipos").distinct().join(terms, ["it", "ih", "ipos"])
                     .select(*place, "it", "ipos", "tid", (F.col("delta") + F.col("ipos")).alias("pos"), id_key().alias("d")), "probes")
-    within = postings.withColumn("d", id_key()).drop("doc_id").join(probes.select("d", "h").distinct(), ["d", "h"], "left_semi")
+    texts = stored(probes.select("h").distinct(), "candidate-texts")  # eight bytes a text: the index is filtered by them where it lies
+    within = postings.join(texts, "h", "left_semi").withColumn("d", id_key()).drop("doc_id")
     confirmed = (probes.join(within, ["d", "h", "tid", "pos"], "left_semi")
                  .select("d", "h", "it", "ih", "delta", "ipos"))
     return (spread.withColumn("d", id_key()).join(confirmed, ["d", "h", "it", "ih", "delta", "ipos"])

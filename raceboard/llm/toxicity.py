@@ -22,14 +22,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raceboard.llm.common import bare_id, keyed, map_batches, null_id, stored
+from raceboard.session import share_code
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýÿœß"
 SIZE = len(LETTERS) + 1  # 0 is the word boundary, and any other character
@@ -256,20 +257,17 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train
     return {r["f"]: float(r["p"]) for r in rows.select("f", "p").collect()}  # bounded by max_train texts
 
 
-def scored(docs: DataFrame, model: np.ndarray, lexicon: dict[str, float], base: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, h, score)``: 1 - (1 - base) times (1 - p) over the distinct lexicon words."""
+def scorer(spark: SparkSession, model: np.ndarray, lexicon: dict[str, float], base: float):
+    """A column function text -> score: 1 - (1 - base) times (1 - p) over the distinct lexicon words."""
+    share_code(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         restorer = Restorer(model)
         known: dict[str, tuple[tuple[str, float], ...]] = {}
 
-        def hits(chunk: str) -> tuple[tuple[str, float], ...]:
-            found = []
-            for w in restorer.chunk_words(chunk):
-                p = max((lexicon.get(f, 0.0) for f in features(w)), default=0.0)
-                if p:
-                    found.append((w, p))
-            return tuple(found)
+        def hits(words: Iterable[str]) -> tuple[tuple[str, float], ...]:
+            found = ((w, max((lexicon.get(f, 0.0) for f in features(w)), default=0.0)) for w in words)
+            return tuple((w, p) for w, p in found if p)
 
         def score(text: str | None) -> float:
             low, words = (text or "").lower(), {}
@@ -278,28 +276,31 @@ def scored(docs: DataFrame, model: np.ndarray, lexicon: dict[str, float], base:
                 if got is None:
                     if len(known) >= restorer.room:
                         known.clear()
-                    got = known[chunk] = hits(chunk)
+                    got = known[chunk] = hits(restorer.chunk_words(chunk))
                 if got:
                     words.update(got)
             for m in SPACED.finditer(low):
-                for w in WORD.findall(restorer.spaced(m[0])):
-                    words.update(hits(w))
+                words.update(hits(WORD.findall(restorer.spaced(m[0]))))
             out = 1 - base
             for w in sorted(words):
                 out *= 1 - words[w]
             return 1 - out
 
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_doc_id": batch["no_doc_id"], "h": batch["h"],
-                                "score": [score(t) for t in batch["text"]]})
+            yield batch.map(score)
+
+    return F.pandas_udf(run, "double")
 
-    return null_id(map_batches(bare_id(keyed(docs, doc_id, text)), run, "doc_id bigint, no_doc_id boolean, h bigint, score double"))
+
+def fitted(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic"):
+    """The score as a column function, with the model of all of ``docs`` and the lexicon of its labelled rows."""
+    model = language_model(trigram_counts(docs, text))
+    return scorer(docs.sparkSession, model, fit_lexicon(docs, labels, model, max_train, doc_id=doc_id, text=text, label=label), 0.01)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 10_000, doc_id: str = "doc_id", text: str = "text",
              label: str = "toxic") -> DataFrame:
     """``doc_id, h, held_out, score, predicted`` for every row."""
-    model = language_model(trigram_counts(docs, text))
-    lexicon = fit_lexicon(docs, labels, model, max_train, doc_id=doc_id, text=text, label=label)
-    found = scored(docs, model, lexicon, 0.01, doc_id, text)
+    score = fitted(docs, labels, max_train, doc_id, text, label)
+    found = keyed(docs, doc_id, text).select("doc_id", "h", score(F.col("text")).alias("score"))
     return found.select("doc_id", "h", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
