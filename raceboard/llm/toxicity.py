@@ -219,7 +219,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train
     """Feature to precision, from at most ``max_train`` labelled rows (those with the smallest
     hash of their id) that are not held out.
 
-    Training texts with the same sketch (three smallest word hashes) count once, so copies of
+    Training texts with the same sketch (eight smallest word hashes) count once, so copies of
     one text lend its words no weight. A feature needs ``least`` toxic texts and ``share`` of
     them all, and ``precision`` of its texts toxic.
     """
@@ -235,7 +235,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train
             yield pd.DataFrame({"mark": batch["mark"], "words": [sorted(restorer.text_words(t)) for t in batch["text"]]})
 
     bags = map_batches(train.select("mark", "text"), words, "mark int, words array<string>")
-    sketch = F.slice(F.sort_array(F.transform("words", lambda w: F.xxhash64(w))), 1, 3)
+    sketch = F.slice(F.sort_array(F.transform("words", lambda w: F.xxhash64(w))), 1, 8)
     bags = stored(bags.groupBy(sketch.alias("sketch")).agg(F.max(F.struct("mark", "words")).alias("b")).select("b.*"), "training-bags")
     toxic, clean = (bags.where(F.col("mark") == m).count() for m in (1, 0))
     if not toxic or not clean:

@@ -66,9 +66,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id
     asked = (rows.select(F.xxhash64("u").alias("uh"), "u", "fetched").distinct()
              .withColumn("host", host_of(F.col("u"))).withColumn("key", F.explode(keys_of(F.col("host"), path_of(F.col("u")))))
              .withColumn("month", F.trunc("fetched", "month")))
-    last = rows.agg(F.max("fetched").alias("last"))
-    known = stored(entries, "intervals")
-    spread = (known.crossJoin(F.broadcast(last))  # one row: the open intervals' end
+    last = rows.agg(F.max("fetched")).scalar()  # an open interval matters up to there
+    spread = (stored(entries, "intervals").withColumn("last", last)
               .withColumn("until", F.least(F.col("last"), F.coalesce(F.date_sub("valid_to", 1), F.col("last"))))
               .where(F.col("until") >= F.col("valid_from"))
               .withColumn("month", F.explode(F.expr("sequence(trunc(valid_from, 'month'), trunc(until, 'month'), interval 1 month)")))
