@@ -12,6 +12,7 @@ SEASON_POINTS_CUM = ('Points', True, 1999, 10)
 SEASON_WINS = ('Race Wins', False, 1999, 5)
 SEASONS_CHAMPIONS = ('Championships', False, 1995, 1)
 SEASONS_PODIUMS = ('Podiums', True, 1995, 10)
+SEASONS_EVERYONE = ("Points", True, 1992, 1_000_000)
 SEASONS_POINTS = ('Points', True, 1998, 3)
 
 LB = "year, type, id, name, constructor_name, constructor_color, wiki_url, season_wiki_url"
@@ -90,6 +91,7 @@ FINAL_SELECTS: dict[str, str] = {
     "seasons_rank_cumulative": SEASONS_Q,
     "seasons_rank_cumulative_points": seasons_rank(*SEASONS_POINTS),
     "seasons_rank": seasons_rank(*SEASONS_CHAMPIONS),
+    "seasons_rank_everyone": seasons_rank(*SEASONS_EVERYONE),
     "season_rank": season_rank(*SEASON_POINTS),
     "season_rank_cumulative": SEASON_Q,
     "season_rank_wins": season_rank(*SEASON_WINS),

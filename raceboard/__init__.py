@@ -7,7 +7,7 @@ Layers (each a plain DataFrame -> DataFrame function, nothing collected):
 * ``operators`` reusable relational building blocks (ranking, running totals,
                 unpivot, dense metric grids, lap sequences, palettes)
 * ``plans``     the warehouse: conformed tables, reports, queries, chart data
-* ``streaming`` intentionally empty: the source workload is a batch rebuild
+* no streaming part: the source workload is a batch rebuild
 """
 
 from raceboard.session import checkpoint_root, get_spark

@@ -8,8 +8,8 @@
     python -m raceboard race-options --warehouse <dir> --season 1999
     python -m raceboard focus-options --warehouse <dir> --season 1999 --race "Race 8"
 
-Query commands print the result rows (``--rows`` bounds what is printed; the query
-itself runs over the whole report).
+Query commands print every result row as one JSON line, or write the result as Parquet
+with ``--out <dir>``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> None:
     for name in ("seasons-rank", "season-rank", "race-bump", "race-options", "focus-options"):
         p = sub.add_parser(name)
         p.add_argument("--warehouse", required=True)
-        p.add_argument("--rows", type=int, default=50)
+        p.add_argument("--out", help="write the result here as Parquet instead of printing it")
         if name in ("seasons-rank", "season-rank"):
             p.add_argument("--metric", default="Points")
             p.add_argument("--cumulative", action="store_true")
@@ -57,19 +57,22 @@ def main(argv: list[str] | None = None) -> None:
     wh = Warehouse.open(spark, args.warehouse)
     if args.cmd == "seasons-rank":
         df = q.seasons_rank(wh.table("report_seasons_metrics"), args.metric, args.cumulative, args.start_year,
-                            args.top).orderBy("year", "type", "position")
+                            args.top)
     elif args.cmd == "season-rank":
         df = q.season_rank(wh.table("report_season_metrics"), args.metric, args.cumulative, args.season,
-                           args.top).orderBy("race_date", "type", "position")
+                           args.top)
     elif args.cmd == "race-bump":
-        df = q.race_bump(wh.table("report_race_metrics"), args.season, args.race) \
-            .orderBy("constructor_name", "driver_name", "lap")
+        df = q.race_bump(wh.table("report_race_metrics"), args.season, args.race)
     elif args.cmd == "race-options":
         df = q.race_options(wh.table("fact_race_result"), wh.table("dim_race"), args.season)
     else:
         df = q.focus_options(wh.table("fact_race_result"), wh.table("dim_race"), wh.table("dim_driver"),
                              args.season, args.race).orderBy("sort_key", "full_name")
-    df.show(args.rows, truncate=False)
+    if args.out:
+        df.write.mode("overwrite").parquet(args.out)
+    else:
+        for row in df.toJSON().toLocalIterator():
+            print(row)
 
 
 if __name__ == "__main__":

@@ -27,7 +27,7 @@ DIM_OPACITY = 0.25
 # pandas NA spellings.
 NULL_TOKENS = (
     "\\N", "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
-    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null",
 )
 # --------------------------------------------------------------------------------
 
@@ -88,7 +88,7 @@ def focus_opacity(driver: str | Column, focus: str | Column) -> Column:
 
 def _int_div(x: Column, d: int) -> Column:
     """Exact integer division of a non-negative bigint by a positive constant."""
-    return ((x - x % d) / d).cast("bigint")
+    return F.call_function("div", x, F.lit(d))
 
 
 def clock_text(ms: str | Column) -> Column:

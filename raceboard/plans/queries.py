@@ -19,13 +19,10 @@ LEADERBOARD_COLUMNS = ("year", "type", "id", "name", "constructor_name", "constr
                        "season_wiki_url", "metric_value", "position")
 
 
-MAX_TOP_N = 1000  # the dashboard's bound on N
-
-
 def _check_top_n(top: int) -> int:
     top = int(top)
-    if not 1 <= top <= MAX_TOP_N:
-        raise ValueError(f"top_n must be between 1 and {MAX_TOP_N}")
+    if top < 1:
+        raise ValueError("top_n must be 1 or more")
     return top
 
 
@@ -34,42 +31,44 @@ def seasons_rank(report: DataFrame, metric: str, cumulative: bool, start_year: i
 
     Cumulative: totals run from ``start_year`` (per entity, seasons in order) and are
     re-ranked per season.  Only the four narrow columns are shuffled for the running
-    total and the rank (planned as a partial WindowGroupLimit); the winners (at most
-    seasons × 2 × ``top`` rows) are broadcast back to pick up names, colours and links
-    from a pruned scan, so the wide columns never cross a shuffle.
+    total and the rank (planned as a partial WindowGroupLimit); the winners then pick up
+    names, colours and links from a pruned scan, in whichever join their size calls for.
+    Rows come by year, type and falling position.
     """
     top = _check_top_n(top)
     m = report.where((F.col("year") >= F.lit(int(start_year))) & (F.col("metric") == F.lit(metric)))
     if not cumulative:
-        return m.where(F.col("position") <= top).select(*LEADERBOARD_COLUMNS)
+        return m.where(F.col("position") <= top).select(*LEADERBOARD_COLUMNS).orderBy("year", "type", F.col("position").desc())
     narrow = running_total(m.select("year", "type", "id", "metric_value"), ["id", "type"], [F.col("year").asc()],
                            "metric_value", "cumulative_metric_value")
     winners = top_n(narrow, ["year", "type"], [F.col("cumulative_metric_value").desc_nulls_last(), F.col("id").asc()],
                     top, "position").select("year", "type", "id", "cumulative_metric_value", "position")
     attrs = m.select("year", "type", "id", "name", "constructor_name", "constructor_color", "wiki_url",
                      "season_wiki_url")
-    return (attrs.join(F.broadcast(winners), ["year", "type", "id"], "inner")
+    return (attrs.join(winners, ["year", "type", "id"], "inner")
             .withColumnRenamed("cumulative_metric_value", "metric_value")
-            .select(*LEADERBOARD_COLUMNS))
+            .select(*LEADERBOARD_COLUMNS).orderBy("year", "type", F.col("position").desc()))
 
 
 def season_rank(report: DataFrame, metric: str, cumulative: bool, season: int, top: int) -> DataFrame:
-    """Top ``top`` per race of ``season`` for ``metric`` (per race or running through the season)."""
+    """Top ``top`` per race of ``season`` for ``metric`` (per race or running through the season),
+    by race date, type and falling position."""
     top = _check_top_n(top)
     return report.where((F.col("year") == F.lit(int(season))) & (F.col("metric") == F.lit(metric))
                         & (F.col("is_cumulative") == F.lit(bool(cumulative)))
-                        & (F.col("position") <= top))
+                        & (F.col("position") <= top)).orderBy("race_date", "type", F.col("position").desc())
 
 
 def race_bump(report: DataFrame, season: int, race: str) -> DataFrame:
-    """Lap-by-lap rows of one race."""
-    return report.where((F.col("year") == F.lit(int(season))) & (F.col("race_name") == F.lit(race)))
+    """Lap-by-lap rows of one race, by constructor, driver and lap."""
+    return (report.where((F.col("year") == F.lit(int(season))) & (F.col("race_name") == F.lit(race)))
+            .orderBy("year", "race_date", "constructor_name", "driver_name", "lap"))
 
 
 def race_options(results: DataFrame, races: DataFrame, season: int) -> DataFrame:
     """Names of the season's races that have results, with their (latest) date for ordering."""
     r = races.where(F.col("year") == F.lit(int(season))).select("race_k", "name", "date")
-    named = results.select("race_k").join(r, "race_k", "inner")
+    named = results.select("race_k").distinct().join(r, "race_k", "inner")
     return named.groupBy("name").agg(F.max("date").alias("race_date")).orderBy("race_date", "name")
 
 

@@ -25,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # --- parameter sets ----------------------------------------------------------------
 SEASONS_PODIUMS = ("Podiums", True, 1995, 10)
+SEASONS_EVERYONE = ("Points", True, 1992, 1_000_000)  # more than there are entities
 SEASONS_POINTS = ("Points", True, 1998, 3)
 SEASONS_CHAMPIONS = ("Championships", False, 1995, 1)
 SEASON_POINTS = ("Points", False, 1999, 10)
@@ -168,6 +169,7 @@ def registry() -> dict[str, Query]:
         "seasons_rank_cumulative": _seasons_rank(SEASONS_PODIUMS),
         "seasons_rank_cumulative_points": _seasons_rank(SEASONS_POINTS),
         "seasons_rank": _seasons_rank(SEASONS_CHAMPIONS),
+        "seasons_rank_everyone": _seasons_rank(SEASONS_EVERYONE),
         "season_rank": _season_rank(SEASON_POINTS),
         "season_rank_cumulative": _season_rank(SEASON_POINTS_CUM),
         "season_rank_wins": _season_rank(SEASON_WINS),

@@ -139,8 +139,9 @@ def report_seasons_metrics(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ race grain ---
 
 def season_races(t: Tables) -> DataFrame:
-    """Races that have at least one result (a semi-join, no distinct over results)."""
-    rr = t["fact_race_result"].select("race_k")
+    """Races that have at least one result; the results are reduced to their race keys, task
+    by task, before anything is shuffled."""
+    rr = t["fact_race_result"].select("race_k").distinct()
     return t["dim_race"].join(rr, "race_k", "left_semi")
 
 
@@ -151,14 +152,19 @@ def _season_members(t: Tables, key: str) -> DataFrame:
     return rr.join(years, "race_k", "inner").select("year", key).distinct()
 
 
+def _known_members(members: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Members under the dimension's key: all that the dimension lacks are one row per season
+    with a NULL key, which no result joins."""
+    found = members.withColumnRenamed(key, "__member").join(dim, F.col("__member") == F.col(key), "left")
+    return found.drop("__member").distinct()
+
+
 def season_drivers(t: Tables) -> DataFrame:
-    d = t["dim_driver"]
-    return _season_members(t, "driver_k").join(d, "driver_k", "left")
+    return _known_members(_season_members(t, "driver_k"), t["dim_driver"], "driver_k")
 
 
 def season_constructors(t: Tables) -> DataFrame:
-    c = t["dim_constructor"]
-    return _season_members(t, "constructor_k").join(c, "constructor_k", "left")
+    return _known_members(_season_members(t, "constructor_k"), t["dim_constructor"], "constructor_k")
 
 
 def _race_context(t: Tables) -> DataFrame:

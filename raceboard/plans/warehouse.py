@@ -10,7 +10,6 @@ also cut the lineage, so a lost executor costs one stage, not the whole build.
 
 from __future__ import annotations
 
-import os
 import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -131,21 +130,20 @@ _BUILT: dict[tuple, Warehouse] = {}
 _LOCK = threading.Lock()
 
 
-def _input_signature(sf_dir: str) -> tuple:
+def _input_signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input files, by whatever file system they are on."""
     sig = []
     for name in adapter.TABLES:
-        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        try:
-            st = os.stat(path)
-            sig.append((name, st.st_size, int(st.st_mtime)))
-        except OSError:
-            sig.append((name, None, None))
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        files = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*")) if fs.getFileStatus(path).isDirectory() else [fs.getFileStatus(path)]
+        sig.append((name, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
     return tuple(sig)
 
 
 def built_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The materialized warehouse for ``sf_dir``, built once per Spark application."""
-    key = (application_id(spark), os.path.realpath(sf_dir), _input_signature(sf_dir))
+    key = (application_id(spark), sf_dir.rstrip("/"), _input_signature(spark, sf_dir))
     with _LOCK:
         wh = _BUILT.get(key)
         if wh is None:

@@ -56,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
     app = application_id(spark)
     if app not in _FALLBACK_DIR:
         _FALLBACK_DIR[app] = os.environ.get("RACEBOARD_CHECKPOINT_DIR", "/tmp/raceboard-checkpoints")

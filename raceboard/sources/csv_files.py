@@ -3,7 +3,7 @@
 Reading binds columns *by header name*: every file is read as text, NULL spellings
 are cleared, and each declared column is ``try_cast`` to its type.  A file may hold
 extra columns or a different order; a declared column missing from the file reads
-as NULL.  Files are split and read in parallel like any Spark CSV scan.
+as NULL.
 """
 
 from __future__ import annotations
@@ -20,9 +20,15 @@ from raceboard.sources.schemas import STAGING
 NULL_MARKER = "\\N"
 
 
-def read_staging_file(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_staging_file(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """One staging file; a quote inside a quoted cell is doubled, and a cell may hold newlines.
+
+    Newlines in cells keep Spark from splitting a file (each file is one task); pass
+    ``multi_line=False`` for large files that have none.
+    """
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("nullValue", NULL_MARKER).option("mode", "PERMISSIVE").csv(path))
+           .option("nullValue", NULL_MARKER).option("mode", "PERMISSIVE")
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path))
     present = set(raw.columns)
     cols = []
     for f in schema.fields:
@@ -57,4 +63,4 @@ def write_staging(tables: Mapping[str, DataFrame], folder: str) -> None:
     folder = folder.rstrip("/")
     for name, df in tables.items():
         (df.write.mode("overwrite").option("header", True).option("nullValue", NULL_MARKER)
-         .option("emptyValue", "").csv(f"{folder}/{name}.csv"))
+         .option("quote", '"').option("escape", '"').option("emptyValue", "").csv(f"{folder}/{name}.csv"))
