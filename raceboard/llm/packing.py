@@ -1,9 +1,9 @@
 """Packing of tokenised documents into fixed windows by multiway differencing.
 
 Each document is tokenised, closed with the end id and cut: first into full windows, which
-need no partner, then the rest into pieces of at most ``piece`` ids. Pieces are dealt by hash
-into blocks of about ``block_windows`` windows; only their sizes travel. Within a block the
-Karmarkar-Karp method starts from one partial partition per piece and keeps merging the two
+need no partner and stay where they are, then the rest into pieces of at most ``piece`` ids.
+Pieces are dealt by hash into blocks of about ``block_windows`` windows; only their sizes
+travel. Within a block the Karmarkar-Karp method starts from one partial partition per piece and keeps merging the two
 with the largest spread, the largest sums of one on the smallest of the other, until one
 partition into k near-equal windows is left. If a window exceeds the capacity, k rises by one
 and the block is packed again. A block's work and memory are bounded whatever the input.
@@ -199,29 +199,35 @@ def pack_sizes(sizes: list[int], capacity: int, bundle: int = 64) -> list[list[i
 
 
 def pack(cut: DataFrame, window: int = 4096, block_windows: int = 128) -> DataFrame:
-    """``cut`` (of ``pieces``, stored) with ``sequence_id`` and ``offset``."""
-    loose = cut.where(F.col("length") < window).agg(F.sum("length")).first()[0] or 0
-    blocks = max(1, round(loose / (window * block_windows)))
+    """``cut`` (of ``pieces``, stored) with ``sequence_id`` and ``offset``.
+
+    Full windows are sequences as they stand and are not shuffled. The block of a loose piece
+    also hangs on its place in the stored table, so that repeated rows spread as well.
+    """
+    cut = cut.drop("ids")
+    whole = cut.where(F.col("length") >= window).withColumns(
+        {"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    loose = cut.where(F.col("length") < window)
+    tokens = loose.agg(F.sum("length")).first()[0] or 0
+    blocks = max(1, round(tokens / (window * block_windows)))
     share_code(cut.sparkSession)
-    cut = bare_id(cut.drop("ids")).withColumn("block", F.pmod(F.xxhash64("no_doc_id", "doc_id", "h", "start"), F.lit(blocks)))
-    columns = [c for c in cut.columns if c != "block"]
+    block = F.pmod(F.xxhash64("no_doc_id", "doc_id", "h", "start", F.monotonically_increasing_id()), F.lit(blocks))
+    loose = bare_id(loose).withColumn("block", block)
+    columns = [c for c in loose.columns if c != "block"]
     schema = ", ".join(f"{c} {'boolean' if c == 'no_doc_id' else 'bigint'}" for c in [*columns, "sequence_id", "offset"])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "h", "start"], ascending=[False, True, True, True], ignore_index=True)
-        sizes = rows["length"].to_numpy()
-        full = int((sizes >= window).sum())
-        packed = pack_sizes(sizes[full:].tolist(), window) if len(sizes) > full else []
-        places = [[i] for i in range(full)] + [[full + i for i in w] for w in packed]
+        sizes = rows["length"].tolist()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for s, members in enumerate(places):
+        for s, members in enumerate(pack_sizes(sizes, window)):
             at = 0
             for i in members:
                 sequence[i], offset[i] = s, at
-                at += int(sizes[i])
+                at += sizes[i]
         return rows[columns].assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
 
-    return null_id(cut.groupBy("block").applyInPandas(run, schema))
+    return null_id(loose.groupBy("block").applyInPandas(run, schema)).unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, window: int = 4096, piece: int = 1024, block_windows: int = 128, end_id: int = 2,

@@ -224,6 +224,27 @@ def test_packing(spark):
     assert packing.pack_documents(table(spark, [])).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    """Copies of one row (no id, one text) go to many blocks, full windows to none."""
+    rows = table(spark, [(None, "alpha beta " * 400)] * 200 + [(7, "gamma " * 9000)])
+    got = packing.pack_documents(rows, window=1024, piece=256, block_windows=8).collect()
+    per_block = {}
+    for r in got:
+        if r["length"] < 1024:
+            per_block[r["sequence_id"] >> 32] = per_block.get(r["sequence_id"] >> 32, 0) + r["length"]
+    assert len(per_block) > 8 and max(per_block.values()) < sum(per_block.values()) / 4
+    whole = [r for r in got if r["length"] == 1024]
+    assert whole and len({r["sequence_id"] for r in whole}) == len(whole) and all(r["offset"] == 0 for r in whole)
+    assert not {r["sequence_id"] for r in whole} & {r["sequence_id"] for r in got if r["length"] < 1024}
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sizes.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 1024
+    assert sum(r["length"] for r in got) == sum({(r["doc_id"], r["h"]): r["doc_tokens"] * (200 if r["doc_id"] is None else 1) for r in got}.values())
+
+
 def test_differencing():
     rng = random.Random(1)
     for n, k in ((0, 1), (1, 1), (7, 3), (500, 20), (3000, 7)):
