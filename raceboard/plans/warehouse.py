@@ -62,8 +62,16 @@ class Warehouse:
 
     def write(self, out_dir: str, timer: Callable[[str, float], None] | None = None,
               parallel: int = 4) -> "Warehouse":
-        """Write this warehouse's conformed tables and reports (e.g. one read from CSV)."""
-        return _build(self.spark, lambda keep: self.staging, out_dir, timer, parallel)
+        """Write this warehouse's staging, conformed tables and reports (e.g. one read from CSV).
+
+        The typed staging tables are written first, so every staging file is parsed once
+        however many tables are built from it.
+        """
+        def staging(keep: Callable[..., DataFrame]) -> dict[str, DataFrame]:
+            written = _wave(keep, {f"staging/{n}": (lambda df=df: df) for n, df in self.staging.items()}, parallel)
+            return {n: written[f"staging/{n}"] for n in self.staging}
+
+        return _build(self.spark, staging, out_dir, timer, parallel)
 
     @classmethod
     def open(cls, spark: SparkSession, out_dir: str) -> "Warehouse":

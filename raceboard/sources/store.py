@@ -33,6 +33,13 @@ LAYOUTS: dict[str, Layout] = {
 }
 
 
+def _laid_out(df: DataFrame, layout: Layout) -> DataFrame:
+    keys = [*layout.partition_by, *layout.sort_by]
+    if not keys:
+        return df
+    return df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).sortWithinPartitions(*keys)
+
+
 def write_table(df: DataFrame, path: str, layout: Layout | None = None) -> None:
     """Replace the table at ``path`` with ``df`` in the given layout.
 
@@ -42,11 +49,7 @@ def write_table(df: DataFrame, path: str, layout: Layout | None = None) -> None:
     table partition (a whole season) is still split across many tasks.
     """
     layout = layout or Layout()
-    out = df
-    keys = [*layout.partition_by, *layout.sort_by]
-    if keys:
-        out = out.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).sortWithinPartitions(*keys)
-    writer = out.write.mode("overwrite")
+    writer = _laid_out(df, layout).write.mode("overwrite")
     if layout.partition_by:
         writer = writer.partitionBy(*layout.partition_by)
     writer.parquet(path)
@@ -58,10 +61,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def save_catalog_table(spark: SparkSession, df: DataFrame, name: str, layout: Layout | None = None,
                        analyze: bool = True) -> None:
-    """Create-or-replace a managed catalog table and collect its statistics."""
+    """Create-or-replace a managed catalog table, laid out as by ``write_table``, and collect its statistics."""
     layout = layout or Layout()
-    out = df.sortWithinPartitions(*layout.partition_by, *layout.sort_by) if layout.sort_by else df
-    writer = out.write.mode("overwrite").format("parquet")
+    writer = _laid_out(df, layout).write.mode("overwrite").format("parquet")
     if layout.partition_by:
         writer = writer.partitionBy(*layout.partition_by)
     writer.saveAsTable(name)

@@ -84,3 +84,34 @@ def test_warehouse_from_staging_csv_matches_table_build(spark, materialize):
     rep = reports.report_seasons_metrics(conformed)
     ref = built.table("report_seasons_metrics").select(*rep.columns)
     assert rep.exceptAll(ref).count() == 0 and rep.count() == ref.count()
+
+
+def test_write_stages_csv_once_and_open_reads_the_build(spark, tmp_path):
+    """``write`` from CSV lands typed staging tables, builds on those alone, and ``open`` finds every table."""
+    from raceboard.plans.warehouse import Warehouse, built_warehouse
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{sf}/lineitem.parquet"):
+        pytest.skip("no test tables")
+    built = built_warehouse(spark, sf)
+    folder, out = str(tmp_path / "csv"), str(tmp_path / "built")
+    csv_files.write_staging(built.staging, folder)
+    written = []
+    wh = Warehouse.from_csv(spark, folder).write(out, timer=lambda name, seconds: written.append(name))
+    assert sorted(n for n in written if n.startswith("staging/")) == sorted(f"staging/{n}" for n in STAGING)
+    for name in STAGING:
+        assert wh.staging[name].schema == STAGING[name]
+        assert wh.staging[name].inputFiles() and all(".csv" not in f for f in wh.staging[name].inputFiles()), name
+    opened = Warehouse.open(spark, out)
+    for name in ("fact_lap", "fact_race_result", "report_seasons_metrics", "report_season_metrics", "report_race_metrics"):
+        a, b = opened.table(name), built.table(name)
+        b = b.select(*a.columns)
+        assert a.exceptAll(b).count() == 0 and a.count() == b.count(), name
+
+
+def test_catalog_table_has_few_files_per_partition(spark):
+    df = spark.range(4000).selectExpr("cast(id % 4 as string) AS metric", "cast(id % 50 as int) AS year").repartition(32)
+    store.save_catalog_table(spark, df, "rb_files_t", store.Layout(("metric",), ("year",)), analyze=False)
+    n = len(spark.table("rb_files_t").inputFiles())
+    assert spark.table("rb_files_t").count() == 4000
+    store.drop_table(spark, "rb_files_t")
+    assert n <= 4 + int(spark.conf.get("spark.sql.shuffle.partitions"))
