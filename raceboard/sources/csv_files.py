@@ -58,9 +58,13 @@ def read_staging(spark: SparkSession, folder: str, names: Iterable[str] | None =
     return {n: read_staging_file(spark, f"{folder}/{n}.csv", STAGING[n]) for n in wanted}
 
 
-def write_staging(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """Write staging DataFrames as CSV folders (``\\N`` for NULL), one per input name."""
+def write_staging(tables: Mapping[str, DataFrame], folder: str, append: bool = False) -> None:
+    """Write staging DataFrames as CSV folders (``\\N`` for NULL), one per input name.
+
+    ``append`` adds to what is there (a load in parts, with the same columns) instead of
+    replacing it.
+    """
     folder = folder.rstrip("/")
     for name, df in tables.items():
-        (df.write.mode("overwrite").option("header", True).option("nullValue", NULL_MARKER)
+        (df.write.mode("append" if append else "overwrite").option("header", True).option("nullValue", NULL_MARKER)
          .option("quote", '"').option("escape", '"').option("emptyValue", "").csv(f"{folder}/{name}.csv"))

@@ -115,3 +115,13 @@ def test_catalog_table_has_few_files_per_partition(spark):
     assert spark.table("rb_files_t").count() == 4000
     store.drop_table(spark, "rb_files_t")
     assert n <= 4 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_staging_loads_in_parts(spark, tmp_path):
+    rows = [(i, f"s{i}" if i % 3 else None) for i in range(20)]
+    parts = [spark.createDataFrame(p, STAGING["status"]) for p in (rows[:8], rows[8:])]
+    csv_files.write_staging({"status": parts[1]}, str(tmp_path))
+    csv_files.write_staging({"status": parts[0]}, str(tmp_path))  # replaces
+    csv_files.write_staging({"status": parts[1]}, str(tmp_path), append=True)
+    back = csv_files.read_staging(spark, str(tmp_path), ["status"])["status"]
+    assert sorted(map(tuple, back.collect())) == rows
