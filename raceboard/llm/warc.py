@@ -55,9 +55,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 100, page_id: str = "page_id", url: str = "url", html: str = "html",
-                   records_per_file: int = 20_000) -> None:
+                   records_per_file: int = 4_000) -> None:
     """One record per row under ``path``. Of equal payloads of ``least`` bytes or more the
-    smallest id is the response and the others revisit it."""
+    smallest id is the response and the others revisit it. A reader holds one compressed
+    file at a time: ``records_per_file`` keeps it small, and is lower where pages are huge."""
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("body"),
                         F.sha2(body, 256).alias("digest"))
