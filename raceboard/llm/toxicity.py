@@ -6,8 +6,10 @@ lattices (per sign: the letters it can stand for, itself, or nothing), and a Vit
 under a trigram character model of the whole corpus picks the likeliest clean reading. The
 score reads the restored text's words.
 
-A word without a look-alike sign, a run of three or a stray separator has one reading, itself,
-so only other stretches are decoded; every text is read whole. The classifier is a lexicon
+A word without a look-alike sign, a run of three or a separator has one reading, itself, and so
+have URLs, hex digests and plain numbers; every other stretch is decoded whole, whatever its
+length, and so is each of its parts between separators. A look-alike sign at the edge of a
+stretch may be just a sign; words count with either reading. The classifier is a lexicon
 of words and word beginnings that toxic training texts share, each with its smoothed
 precision; a text's score is a noisy-or over its distinct words.
 
@@ -44,16 +46,20 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
               "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 #: Costs (negative log probabilities) of the channel.
 SIGN, DROP, RUN, JOIN, BREAK = 0.5, 5.0, 0.5, 0.2, 1.5
-#: Longer stretches are taken for identifiers, not for words.
-LONGEST = 32
-#: Signs of addresses and assignments: such a stretch is no disguised word.
-PLAIN = re.compile(r"[=/\\:]|^www\.")
+#: Signs that rather part words than join them.
+PARTING = "=/\\:"
+#: What is surely no disguised word: URLs, UUIDs, hex digests (collapsed runs still leave 16 digits), numbers.
+URL = re.compile(r"(?:https?|ftp)://|www\.")
+HEX = re.compile(r"(?:0x)?(?=[a-f]*\d)(?:([\da-f])\1*+){16,}+|[\da-f]{8}(?:-[\da-f]{4}){3}-[\da-f]{12}")
+NUMBER = re.compile(r"[+($€-]*\d[\d.,:/-]*[%)!]*[$€]?")
 EDGE = "\"'.,;:!?()[]{}<>|*#%&$-_=+~/\\`^«»…“”’"
-LEFT_EDGE = EDGE.replace("$", "")
 SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\w)")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = frozenset(LOOKALIKES)
+_EDGE_PLAIN = "".join(c for c in EDGE if c not in LOOKALIKES)
+#: What parts a stretch: neither a letter nor a digit nor a look-alike sign.
+_PARTS = re.compile(rf"[^\w{re.escape(''.join(LOOKALIKES))}]+|_+")
 
 
 def codes(text: str) -> np.ndarray:
@@ -94,10 +100,12 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
-def lattice(stretch: str) -> list[list[tuple[str, float]]]:
-    """Per sign or run the readings (letters, or nothing) with their costs."""
+def lattice(stretch: str, edges: bool = True) -> list[list[tuple[str, float]]]:
+    """Per sign or run the readings (letters, nothing, and with ``edges`` for a sign at an edge
+    the sign itself) with their costs."""
     out: list[list[tuple[str, float]]] = []
     at = 0
+    first, last = len(stretch) - len(stretch.lstrip(EDGE)), len(stretch.rstrip(EDGE))
     while at < len(stretch):
         c = stretch[at]
         end = at
@@ -106,33 +114,44 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
         run = end - at
         if c in LOOKALIKES:
             readings = [(x, SIGN) for x in LOOKALIKES[c]] + [("", DROP)]
+            if edges and (at < first or at >= last):
+                readings = [*readings, (c, 0.0)]
             out += [readings] * min(run, 2) if run < 3 else [readings + [(x + x, SIGN + RUN) for x in LOOKALIKES[c]]]
         elif c in _AT:
             out.append([(c * run, 0.0)] if run < 3 else [(c, RUN), (c + c, RUN)])
         elif c.isalnum():
             out.append([("", DROP)])
+        elif c in PARTING:
+            out.append([("", BREAK), (c, JOIN)])
         else:  # a separator: joins what it parts, or ends a word
-            out.append([("", JOIN), (" ", BREAK)])
+            out.append([("", JOIN), (c, BREAK)])
         at = end
     return out
 
 
-def decode(stretch: str, model: np.ndarray) -> str:
-    """The likeliest clean reading: Viterbi over states of the last two letters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for readings in [*lattice(stretch), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+def decode(stretch: str, model: np.ndarray, edges: bool = True) -> str:
+    """The likeliest clean reading: Viterbi over states of the last two letters. Paths are linked
+    backwards and share what they have in common, so length costs in proportion. A boundary after
+    a boundary is the same one."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for readings in [*lattice(stretch, edges), [(" ", 0.0)]]:
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in states.items():
             for letters, price in readings:
                 x, y, total = a, b, cost + price
                 for letter in letters:
                     z = _AT.get(letter, 0)
-                    total += float(model[x, y, z])
-                    x, y = y, z
+                    if y or z:
+                        total += float(model[x, y, z])
+                        x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + letters)
+                    after[x, y] = (total, (path, letters) if letters else path)
         states = after
-    return min(states.values())[1].strip()
+    path, out = min(states.values(), key=lambda s: s[0])[1], []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out)).strip()
 
 
 class Restorer:
@@ -142,24 +161,38 @@ class Restorer:
         self.model, self.room = model, room
         self.words: dict[str, tuple[str, ...]] = {}
 
-    def reading(self, chunk: str) -> str | None:
-        """The restored form of a chunk without white space, or None if it has but one reading."""
-        core = chunk.rstrip(EDGE).lstrip(LEFT_EDGE)
-        if not core or core.isalpha() and not TRIPLE.search(core) or len(core) > LONGEST or PLAIN.search(core):
+    def reading(self, chunk: str, edges: bool = True) -> str | None:
+        """The restored form of a chunk without white space, or None if it has but one reading.
+        Without ``edges`` look-alike signs at its edges are letters in any case."""
+        core = chunk.strip(_EDGE_PLAIN)
+        if not core or core.isalpha() and not TRIPLE.search(core) or URL.match(core) or HEX.fullmatch(core) or NUMBER.fullmatch(core):
             return None
         letters = sum(c.isalpha() for c in core)
         signs = sum(c in _SIGNS for c in core)
-        inner = sum(not c.isalnum() and c not in _SIGNS for c in core)
-        if letters < 2 or 2 * letters < signs or not (signs or TRIPLE.search(core) or inner >= 2 and letters <= 2 * (inner + 1)):
+        if letters + signs < 2 or not letters and all(c.isdigit() or c not in _SIGNS for c in core):
             return None
-        return decode(core, self.model)
+        if not (signs or TRIPLE.search(core) or _PARTS.search(core)):
+            return None
+        at = chunk.index(core)
+        return chunk[:at] + decode(core, self.model, edges) + chunk[at + len(core):]
+
+    def readings(self, chunk: str) -> Iterator[str]:
+        """The restored forms of a chunk and of its parts, with either reading of the edges."""
+        if URL.match(chunk.strip(_EDGE_PLAIN)):
+            return
+        for part in dict.fromkeys([chunk, *_PARTS.split(chunk)]):
+            first = self.reading(part)
+            if first is not None:
+                yield first
+                core = part.strip(_EDGE_PLAIN)
+                if core[0] in EDGE or core[-1] in EDGE:
+                    yield self.reading(part, False)
 
     def chunk_words(self, chunk: str) -> tuple[str, ...]:
         """The words of a lower-cased chunk: as they stand, and as restored."""
         got = self.words.get(chunk)
         if got is None:
-            restored = self.reading(chunk)
-            got = tuple(WORD.findall(chunk) if restored is None else [*WORD.findall(restored), *WORD.findall(chunk)])
+            got = tuple(dict.fromkeys(w for r in [*self.readings(chunk), chunk] for w in WORD.findall(r)))
             if len(self.words) >= self.room:
                 self.words.clear()
             self.words[chunk] = got
@@ -176,10 +209,8 @@ class Restorer:
         return out
 
     def spaced(self, stretch: str) -> str:
-        """Spaced letters as words; long stretches piece by piece, with an overlap that holds a word."""
-        signs = stretch[::2]
-        parts = [signs[i:i + LONGEST] for i in range(0, max(1, len(signs) - LONGEST // 2), LONGEST // 2)]
-        return " ".join(decode(" ".join(p), self.model) for p in parts)
+        """Spaced letters as words."""
+        return decode(" ".join(stretch[::2]), self.model)
 
     def restore(self, text: str | None) -> str | None:
         """The whole text with its suspicious stretches decoded."""

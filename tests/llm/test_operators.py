@@ -123,6 +123,17 @@ def test_toxicity(spark):
     assert got[1006][0].score == got[1007][0].score
 
 
+def test_toxicity_decodes_every_stretch(spark):
+    """Long runs, stretches joined by dots or parted by = / \\ :, one separator, edge signs; not URLs, digests, numbers."""
+    texts, labels = toxic_corpus()
+    noisy = ["m" + "0" * 40 + "r0n", "an id" + "i" * 60 + "ot", "you...are...such...a...1d10t...we...know", "you:1d10t", "1d10t/m0r0n", r"a\m0r0n", "x=1d10t", "id.iot", "sc-umbag", "!d10t", "+++m0r0n"]
+    plain = ["http://a.bc/1d10t", "www.ab.cd/m0r0n", "0123456789abcdef01234567", "2024-01-05", "$5.00", "(12)", "the=idea", "a:patriot", "w" * 5000]
+    rows = [(1000 + i, t) for i, t in enumerate(noisy)] + [(2000 + i, t) for i, t in enumerate(plain)]
+    found = toxicity.toxicity(table(spark, texts + rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.predicted for r in found.collect()}
+    assert [t for i, t in rows if got[i] != (i < 2000)] == []
+
+
 def test_toxicity_ignores_labels_of_held_out_rows(spark):
     texts, labels = toxic_corpus()
     docs = table(spark, texts)
