@@ -21,7 +21,6 @@ give empty results; other columns are never read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -57,6 +56,8 @@ SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\w)")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = frozenset(LOOKALIKES)
+#: Standard deviations that a feature's precision is taken lower by.
+Z = 3.0
 _EDGE_PLAIN = "".join(c for c in EDGE if c not in LOOKALIKES)
 #: What parts a stretch: neither a letter nor a digit nor a look-alike sign.
 _PARTS = re.compile(rf"[^\w{re.escape(''.join(LOOKALIKES))}]+|_+")
@@ -245,14 +246,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = 10_000, least: int = 5, share: float = 0.02, precision: float = 0.9,
+def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = 10_000, least: int = 5, precision: float = 0.9,
                 doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict[str, float]:
     """Feature to precision, from at most ``max_train`` labelled rows (those with the smallest
     hash of their id) that are not held out.
 
     Training texts with the same sketch (eight smallest word hashes) count once, so copies of
-    one text lend its words no weight. A feature needs ``least`` toxic texts and ``share`` of
-    them all, and ``precision`` of its texts toxic.
+    one text lend its words no weight. A feature needs ``least`` toxic texts, however many there
+    are in all, ``precision`` of its texts toxic, and a lower bound of that share (Wilson's, at
+    ``Z`` deviations) above the share of toxic texts in all, or above a half where that is less:
+    of the many rare words some stand in toxic texts alone by chance.
     """
     marks = (labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("mark"))
              .where(F.col("id").isNotNull() & F.col("mark").isNotNull() & ~held_out(F.col("id")))
@@ -280,11 +283,12 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train
         names = [*n[0].keys() | n[1].keys()]
         yield pd.DataFrame({"f": names, "t": [n[1][f] for f in names], "c": [n[0][f] for f in names]}).astype({"f": str})
 
-    need = max(least, math.ceil(share * toxic))
     table = (map_batches(bags, seen, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-             .where(F.col("t") >= need))
+             .where(F.col("t") >= least))
     prior = toxic / (toxic + clean)
-    rows = table.where(F.col("t") >= precision * (F.col("t") + F.col("c"))).withColumn("p", (F.col("t") + 3 * prior) / (F.col("t") + F.col("c") + 3))
+    n = F.col("t") + F.col("c")
+    bound = (F.col("t") + Z * Z / 2 - Z * F.sqrt(F.col("t") * F.col("c") / n + Z * Z / 4)) / (n + Z * Z)
+    rows = table.where((F.col("t") >= precision * n) & (bound > min(prior, 0.5))).withColumn("p", (F.col("t") + 3 * prior) / (F.col("t") + F.col("c") + 3))
     return {r["f"]: float(r["p"]) for r in rows.select("f", "p").collect()}  # bounded by max_train texts
 
 

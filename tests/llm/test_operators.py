@@ -134,6 +134,17 @@ def test_toxicity_decodes_every_stretch(spark):
     assert [t for i, t in rows if got[i] != (i < 2000)] == []
 
 
+def test_toxicity_learns_words_that_few_toxic_texts_share(spark):
+    """A language with under 2 % of the toxic training texts has features of its own."""
+    rare = [(i, f"{prose(i, 8).translate(str.maketrans('0123456789', 'bcdfghjklm'))} {'salaud' if i % 60 == 0 else 'moron'}") for i in range(1800)]
+    clean = [(5000 + i, prose(5000 + i, 8).translate(str.maketrans("0123456789", "bcdfghjklm"))) for i in range(1800)]
+    labels = spark.createDataFrame([(i, 0, 1) for i, _ in rare] + [(i, 0, 0) for i, _ in clean], "doc_id long, quality int, toxic int")
+    found = toxicity.toxicity(table(spark, [*rare, *clean, (9000, "quel salaud"), (9001, "what a moron"), (9002, "quel salon")]), labels)
+    got = {r.doc_id: r.predicted for r in found.collect()}
+    assert (got[9000], got[9001], got[9002]) == (1, 1, 0)
+    assert all(got[i] for i, _ in rare) and sum(got[i] for i, _ in clean) < 18
+
+
 def test_toxicity_ignores_labels_of_held_out_rows(spark):
     texts, labels = toxic_corpus()
     docs = table(spark, texts)
