@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceboard.llm import chat_format, decontamination, exact_dedup, line_dedup, packing, secrets, simhash, toxicity, url_filter, warc
+from raceboard.llm import chat_format, decontamination, exact_dedup, line_dedup, minhash, packing, periodic_runs, ranked_search, secrets, simhash, toxicity, url_filter, warc
 from raceboard.llm.common import read_table, stored
 from raceboard.session import scratch_path
 
@@ -184,6 +184,89 @@ SELECT d.doc_id, d.source, len(lines)::BIGINT n_lines, coalesce(n_dropped, 0)::B
 FROM d LEFT JOIN o USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of every tenth checksum the words from ``a`` on repeat the ``p``
+    words that begin there (words joined by one space)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", " " * 5), " "), "")
+    g = F.floor(h / 10).cast("long")
+    planted = docs.where((h % 10 == 0) & (F.size(words) > 0)).withColumn("w", words).withColumn("a", (g % F.size("w")).cast("int"))
+    period = F.lit(1) + F.floor((F.size("w") - F.col("a")) / (F.lit(3) + g % 8)).cast("int")
+    moved = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.col("w")[
+        F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))])
+    planted = planted.withColumn("p", period).withColumn("text", F.array_join(moved, " ")).drop("w", "a", "p")
+    return docs.where(~F.coalesce((h % 10 == 0) & (F.size(words) > 0), F.lit(False))).unionByName(planted)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(with_planted_repeats(docs))
+    longer = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]  # noqa: E731  the sign of the exponents' difference
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(longer(r, b) > 0, r).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+OP11_SQL = r"""
+WITH crc AS (SELECT doc_id, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+               lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)::UBIGINT[]),
+                 lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)) c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+d AS (SELECT documents.doc_id, xor(c, 4294967295::UBIGINT)::BIGINT h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents LEFT JOIN crc USING (doc_id)),
+o AS (SELECT doc_id, w, len(w) n, h % 10 = 0 AND len(w) > 0 moved, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END a, h // 10 g FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) p FROM o),
+t AS (SELECT doc_id, i, w[CASE WHEN moved AND i >= a THEN a + (i - a) % p ELSE i END + 1] word, n FROM (SELECT *, unnest(range(n)) i FROM p)),
+eq AS (SELECT x.doc_id, x.i, y.i - x.i q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+often AS (SELECT doc_id, q FROM eq GROUP BY 1, 2 HAVING count(*) >= greatest(24 - q, 2 * q)),
+isl AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) k FROM eq SEMI JOIN often USING (doc_id, q)),
+st AS (SELECT doc_id, q, min(i) s, count(*) + q l FROM isl GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT doc_id, s, l, min(q) q FROM st GROUP BY 1, 2, 3),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) txt FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+agg AS (SELECT doc_id, count(*) n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) listed FROM runs GROUP BY 1),
+best AS (SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.doc_id = r.doc_id AND (x.l * r.q > r.l * x.q OR (x.l * r.q = r.l * x.q AND (x.s < r.s OR (x.s = r.s AND x.q < r.q))))))
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT n_runs, s::BIGINT AS start, l::BIGINT length, q::BIGINT period, (1000 * l // q)::BIGINT exponent_milli,
+       sha256(coalesce(listed, '')) runs_sha256, sha256(coalesce(txt, '')) collapsed_sha256
+FROM d LEFT JOIN agg USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') w FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}')) term FROM benchmark),
+g AS (SELECT count(*) n_docs, sum(len(w)) n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, term, n, count(*) tf FROM (SELECT doc_id, len(w) n, unnest(w) term FROM d) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT w FROM tf, g WHERE term IN (SELECT term FROM b) GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) score
+      FROM (SELECT item_id, term, count(*) reps FROM b GROUP BY ALL) JOIN tf USING (term) JOIN wt USING (term), g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score::BIGINT score FROM r WHERE rank <= 10"""
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 2], ' ') g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 1, 1))) i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM sh GROUP BY 1),
+c AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id r FROM w UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.doc_id WHERE reach.r < e.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, least(w.doc_id, m.r) component_id, w.doc_id <= m.r kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) r FROM reach GROUP BY 1) m USING (doc_id)"""
+
+
 QUERIES = {
     "op1_decontamination": (op1_decontamination, OP1_SQL),
     "op2_tool_calls": (op2_tool_calls, OP2_SQL),
@@ -195,6 +278,9 @@ QUERIES = {
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
+    "op11_periodic_runs": (op11_periodic_runs, OP11_SQL),
+    "op12_ranked_search": (op12_ranked_search, OP12_SQL),
+    "op13_minhash": (op13_minhash, OP13_SQL),
 }
 
 
