@@ -14,10 +14,11 @@ sketches agree in so few coordinates that a link is as unlikely as a missed band
 (``_LEAST_AGREE``), go; the rest is confirmed on the full shingle sets.
 
 Sets are handled once, however many documents have them. Within a bucket not all pairs are
-compared: first every set is compared with the bucket's least set, then with another one
-drawn for each bucket. Links that are confirmed make components, and in the end each bucket
-compares only members of different components (the largest component's with all others), so
-nothing is lost and a bucket of thousands of near copies costs about its size.
+compared: first every set is compared with the bucket's least set. Links that are confirmed
+make components, and then each bucket compares only members of different components (those
+outside the largest one with all others), in blocks of sets that a task holds in memory, so
+nothing is lost, a bucket of thousands of near copies costs about its size, and pairs that
+nearly link are counted where they lie instead of being moved.
 
 Defined results: a null, empty or wordless text has no shingles and is linked with nothing; a
 text of fewer words than a shingle has is one shingle; a null id takes part but names no
@@ -27,6 +28,7 @@ row; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,7 @@ COORDS, ROWS = 128, 4
 #: At similarity 0.8, fewer agreeing coordinates of 128 have a chance below 1 in 10 million.
 _LEAST_AGREE = 77
 _CELLS = 1 << 16  # hashes made at a time
+_BLOCK, _BLOCK_SHINGLES = 256, 1 << 20
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -129,41 +132,34 @@ def shingle_sets(texts: DataFrame, size: int = 2) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def _linked(inter: Column, a: Column, b: Column, percent: int) -> Column:
-    return 100 * inter >= percent * (a + b - inter)
-
-
 class _Search:
-    """Candidate pairs of distinct sets, and what has been confirmed of them."""
+    """Buckets of distinct sets, and the shingles of every set that shares a bucket."""
 
-    def __init__(self, docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int, percent: int) -> None:
-        self.percent, self.nodes = percent, nodes
-        # one text of each set that shares a bucket is read again for its shingles
-        rows = nodes.where("n > 0").select("node", F.explode("bands").alias("key"))
+    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> None:
+        self.percent = percent
+        rows = nodes.where("n > 0").select("node", "n", F.explode("bands").alias("key"))
         again = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1"), "bucket-keys")
-        self.buckets = stored(rows.join(again, "key").select("key", "node", "pivot"), "buckets")
-        met = stored(self.buckets.select("node").distinct(), "met")
+        self.buckets = stored(rows.join(again, "key").select("key", "node", "n", "pivot"), "buckets")
+        met = stored(self.buckets.groupBy("node").agg(F.min("pivot").alias("home")), "met")
         self.brief = stored(nodes.select("node", "n", "coords").join(met, "node"), "brief")
+        # one text of each of these sets is read again for its shingles
         source = nodes.join(met, "node").select("node", F.col("row_id").alias("d"), F.col("row_h").alias("h"))
         texts = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("d"), "h", "text").join(source, ["d", "h"]).select("node", "text").distinct()
         self.sets = stored(shingle_sets(texts, size), "sets")
-        self.tested: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b)``, not tried before, that link by their full sets."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        """Those of the stored ``pairs(a, b)`` that link by their full sets."""
         side = lambda x: self.brief.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("coords").alias(f"c{x}"))
-        close = (pairs.join(side("a"), "a").join(side("b"), "b")
-                 .where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+        close = (pairs.join(side("a"), "a").join(side("b"), "b").where(self.sizes_allow(F.col("na"), F.col("nb")))
                  .where(_agreeing("ca", "cb") >= _LEAST_AGREE).select("a", "b"))
         close = stored(close, "close")
         sets = lambda x: self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
         common = F.size(F.array_intersect("sa", "sb"))
-        return close.join(sets("a"), "a").join(sets("b"), "b").where(_linked(common, F.size("sa"), F.size("sb"), self.percent)).select("a", "b")
+        linked = 100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)
+        return close.join(sets("a"), "a").join(sets("b"), "b").where(linked).select("a", "b")
+
+    def sizes_allow(self, a: Column, b: Column) -> Column:
+        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
 
 def _agreeing(a: str, b: str) -> Column:
@@ -180,28 +176,74 @@ def _agreeing(a: str, b: str) -> Column:
 
 def links(search: _Search) -> DataFrame:
     """``(a, b)``: confirmed links that join up all sets which any links join up."""
-    least = search.buckets.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    least = stored(search.buckets.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     found = stored(search.confirm(least), "links")
-    mixed = _mixed_buckets(search, found)
-    drawn = mixed.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "key")).alias("drawn"))
-    other = mixed.join(drawn, "key").where(F.col("root") != F.col("drawn.root")).select(F.col("node").alias("a"), F.col("drawn.node").alias("b"))
-    found = found.unionByName(stored(search.confirm(other), "links"))
-    mixed = _mixed_buckets(search, found)
-    sizes = mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    mixed = stored(mixed.join(main, "key"), "mixed-members")
-    rest = mixed.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    every = mixed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("is_main"))
-    across = rest.join(every, "key").where((F.col("ra") != F.col("rb")) & (F.col("is_main") | (F.col("a") < F.col("b"))))
-    return found.unionByName(stored(search.confirm(across.select("a", "b")), "links"))
-
-
-def _mixed_buckets(search: _Search, found: DataFrame) -> DataFrame:
-    """``key, node, root``: members of the buckets that hold more than one component; stored."""
+    return found.unionByName(stored(_across(search, found), "links"))
+
+
+def _across(search: _Search, found: DataFrame) -> DataFrame:
+    """Links between members of different components of ``found`` that share a bucket.
+
+    Of each bucket the members outside its largest component ask for all others. They ask by
+    blocks of sets, which hold at most ``_BLOCK`` sets or about ``_BLOCK_SHINGLES`` shingles
+    of about one size, mostly from one bucket: a request names the wanted members of one
+    block, however many buckets two sets share. A task then holds one block, counts common
+    shingles for its requests, and hands on links only, so sets that nearly link (and there
+    may be as many pairs of them as a group has) make no rows.
+    """
+    blocks = stored(_blocks(search), "blocks")
     roots = stored(components(found), "roots")
-    named = search.buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    several = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return stored(named.join(stored(several, "mixed-keys"), "key"), "mixed")
+    named = search.buckets.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = stored(named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")), "component-sizes")
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("key", "main")
+    mixed = stored(named.join(stored(main, "mixed-keys"), "key").join(blocks, "node"), "mixed")
+    lists = mixed.groupBy("key", "block").agg(F.collect_list(F.struct("node", "root", "n", (F.col("root") == F.col("main")).alias("is_main"))).alias("members"))
+    asking = mixed.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    wanted = F.filter("members", lambda m: (m["root"] != F.col("ra")) & (m["is_main"] | (F.col("a") < m["node"])) & search.sizes_allow(F.col("na"), m["n"]))
+    requests = (asking.join(lists, "key").select("a", "block", F.transform(wanted, lambda m: m["node"]).alias("wanted")).where(F.size("wanted") > 0)
+                .groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("wanted")))
+    requests = stored(requests, "requests")
+    shares = stored(requests.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("shares")), "shares")
+    held = (blocks.join(shares, "block").join(search.sets, "node")
+            .select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "node", "shingles"))
+    asked = (requests.join(shares, "block").join(search.sets.withColumnRenamed("node", "a"), "a")
+             .select(F.col("block").alias("of_block"), F.pmod(F.xxhash64("a"), F.col("shares").cast("long")).cast("int").alias("of_share"), F.col("a").alias("asker"),
+                     F.col("shingles").alias("own"), F.col("wanted").alias("asks")))
+    percent = search.percent
+
+    def count(block: pa.Table, requests: pa.Table) -> pa.Table:
+        if not block.num_rows or not requests.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        nodes = block.column("node").to_numpy()
+        sets = [np.asarray(x) for x in block.column("shingles").to_pylist()]
+        lengths = np.array([len(x) for x in sets])
+        starts = np.cumsum(lengths) - lengths
+        known, at = np.unique(np.concatenate(sets), return_inverse=True)
+        left, right = [], []
+        for a, own, ask in zip(*(requests.column(c).to_pylist() for c in ("asker", "own", "asks"))):
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            place = place[known[place] == own]
+            present = np.zeros(len(known), np.int64)
+            present[place] = 1
+            common = np.add.reduceat(present[at], starts)
+            linked = 100 * common >= percent * (lengths + len(own) - common)
+            hits = np.intersect1d(nodes[linked], ask)
+            left += [a] * len(hits)
+            right += hits.tolist()
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    share_code(found.sparkSession)
+    return held.groupBy("block", "share").cogroup(asked.groupBy("of_block", "of_share")).applyInArrow(count, "a bigint, b bigint")
+
+
+def _blocks(search: _Search) -> DataFrame:
+    """``node, block``: sets that share a bucket's least set and are of about one size."""
+    of_size = F.floor(F.log("n") / F.lit(math.log(1.25))).cast("int")
+    sized = search.brief.select("node", "home", of_size.alias("class"))
+    room = F.greatest(F.lit(1), F.least(F.lit(_BLOCK), F.floor(F.lit(_BLOCK_SHINGLES) / F.pow(F.lit(1.25), F.col("class") + 1)).cast("int")))
+    counts = sized.groupBy("home", "class").agg(F.count(F.lit(1)).alias("members")).select("home", "class", F.ceil(F.col("members") / room).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    return sized.join(counts, ["home", "class"]).select("node", F.xxhash64("home", "class", part).alias("block"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +254,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, doc_id: s
     one = prints.groupBy(*of_set).agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "h", "bands", "coords"), F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("r"))
     nodes = stored(one.select(*of_set, "least", F.coalesce("r.doc_id", F.lit(0).cast("long")).alias("row_id"), F.col("r.h").alias("row_h"), "r.bands", "r.coords",
                               F.monotonically_increasing_id().alias("node")), "nodes")
-    search = _Search(source, prints, nodes, size, percent)
+    search = _Search(source, nodes, size, percent)
     roots = stored(components(links(search)), "roots")
     linked = nodes.select("node", "least").join(roots, "node")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", F.lit(True).alias("found"), "component")
