@@ -12,15 +12,18 @@ from __future__ import annotations
 
 import threading
 import time
+from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
-from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from raceboard.plans import conform, reports
 from raceboard.session import application_id, scratch_path
 from raceboard.sources import adapter, csv_files, store
+from raceboard.sources.schemas import STAGING
+from raceboard.sources.versions import Build, VersionedStore
 
 
 class Warehouse:
@@ -65,9 +68,9 @@ class Warehouse:
         """Write this warehouse's staging, conformed tables and reports (e.g. one read from CSV).
 
         The typed staging tables are written first, so every staging file is parsed once
-        however many tables are built from it.
+        however many tables are built from it; ``append`` adds to them later.
         """
-        def staging(keep: Callable[..., DataFrame]) -> dict[str, DataFrame]:
+        def staging(keep: Keep) -> dict[str, DataFrame]:
             written = _wave(keep, {f"staging/{n}": (lambda df=df: df) for n, df in self.staging.items()}, parallel)
             return {n: written[f"staging/{n}"] for n in self.staging}
 
@@ -75,11 +78,8 @@ class Warehouse:
 
     @classmethod
     def open(cls, spark: SparkSession, out_dir: str) -> "Warehouse":
-        """A warehouse over tables an earlier ``materialize`` wrote to ``out_dir``."""
-        out_dir = out_dir.rstrip("/")
-        conformed = {n: store.read_table(spark, f"{out_dir}/{n}") for n in conform.builders({}).keys()}
-        built = {n: store.read_table(spark, f"{out_dir}/{n}") for n in reports.builders({}).keys()}
-        return cls(spark, {}, conformed, built)
+        """A warehouse over the newest complete build in ``out_dir``."""
+        return _opened(VersionedStore(spark, out_dir))
 
     @classmethod
     def materialize(cls, spark: SparkSession, sf_dir: str, out_dir: str,
@@ -94,7 +94,7 @@ class Warehouse:
         hot-group split would otherwise recompute them.
         ``timer(table, seconds)`` is told how long each table took to write.
         """
-        def staging(keep: Callable[..., DataFrame]) -> dict[str, DataFrame]:
+        def staging(keep: Keep) -> dict[str, DataFrame]:
             intermediates = adapter.adapter_work(spark, sf_dir)
             written = _wave(keep, {f"work/{n}": (lambda df=df: df) for n, df in intermediates.items()}, parallel)
             work = {n.split("/", 1)[1]: df for n, df in written.items()}
@@ -103,37 +103,67 @@ class Warehouse:
         return _build(spark, staging, out_dir, timer, parallel)
 
 
-def _wave(keep: Callable[..., DataFrame], thunks: dict[str, Callable[[], DataFrame]], parallel: int,
-          layouts: dict[str, store.Layout] | None = None) -> dict[str, DataFrame]:
+Keep = Callable[..., DataFrame]
+
+
+def _wave(keep: Keep, thunks: dict[str, Callable[[], DataFrame]], parallel: int) -> dict[str, DataFrame]:
     """Plan and write independent tables concurrently; each worker plans its own table
     (writing any work table it persists) and then writes it."""
-    layouts = layouts or {}
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        futures = {n: pool.submit(lambda n=n, b=b: keep(n, b(), layouts.get(n))) for n, b in thunks.items()}
+        futures = {n: pool.submit(lambda n=n, b=b: keep(n, b())) for n, b in thunks.items()}
         return {n: f.result() for n, f in futures.items()}
 
 
-def _build(spark: SparkSession, make_staging: Callable[[Callable[..., DataFrame]], dict[str, DataFrame]],
-           out_dir: str, timer: Callable[[str, float], None] | None, parallel: int) -> Warehouse:
-    out_dir = out_dir.rstrip("/")
+def keeper(build: Build, races: Callable[[], DataFrame], timer: Callable[[str, float], None] | None = None,
+           replacing: Collection | None = None) -> Keep:
+    """Writes a table into ``build`` in its layout: facts in the folders of their seasons.
 
-    def keep(name: str, df: DataFrame, layout: store.Layout | None = None) -> DataFrame:
-        path = f"{out_dir}/{name}"
+    With ``replacing`` only those seasons of the segmented tables are written anew.
+    """
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        layout = store.LAYOUTS.get(name, store.Layout())
         started = time.perf_counter()
-        store.write_table(df, path, layout)
+        hidden = ()
+        if layout.segment and layout.segment not in df.columns:
+            df, hidden = df.join(seasons_of(races()), "race_k", "left"), (layout.segment,)
+        out = build.write(name, df, layout, hidden, replacing if layout.segment else None)
         if timer:
             timer(name, time.perf_counter() - started)
-        return store.read_table(spark, path)
+        return out
+
+    return keep
+
+
+def seasons_of(races: DataFrame) -> DataFrame:
+    """``race_k, season`` of staging races."""
+    return races.groupBy(F.col("raceId").alias("race_k")).agg(F.min("year").alias("season"))
+
+
+def _build(spark: SparkSession, make_staging: Callable[[Keep], dict[str, DataFrame]],
+           out_dir: str, timer: Callable[[str, float], None] | None, parallel: int) -> Warehouse:
+    versions = VersionedStore(spark, out_dir)
+    build = versions.begin()
+    staging: dict[str, DataFrame] = {}
+    keep = keeper(build, lambda: staging["races"], timer)
 
     def work_table(name: str, df: DataFrame) -> DataFrame:
         return keep(f"work/{name}", df)
 
-    staging = make_staging(keep)
+    staging |= make_staging(keep)
     conformed = _wave(keep, conform.builders(staging, persist=work_table), parallel)
-    built = _wave(keep, reports.builders(conformed, persist=work_table), parallel, store.LAYOUTS)
+    built = _wave(keep, reports.builders(conformed, persist=work_table), parallel)
+    build.commit()
     return Warehouse(spark, staging, conformed, built)
 
 
+def _opened(versions: VersionedStore) -> Warehouse:
+    tables = versions.current()
+    if not tables:
+        raise FileNotFoundError(f"no complete build in {versions.root}")
+    read = lambda names, prefix="": {n: versions.frame(prefix + n, tables[prefix + n]) for n in names if prefix + n in tables}
+    return Warehouse(versions.spark, read(STAGING, "staging/"), read(conform.builders({})), read(reports.builders({})))
+
+
 _BUILT: dict[tuple, Warehouse] = {}
 _LOCK = threading.Lock()
 
@@ -142,10 +172,8 @@ def _input_signature(spark: SparkSession, sf_dir: str) -> tuple:
     """Names, sizes and times of the input files, by whatever file system they are on."""
     sig = []
     for name in adapter.TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        files = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*")) if fs.getFileStatus(path).isDirectory() else [fs.getFileStatus(path)]
-        sig.append((name, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+        files = spark.read.format("binaryFile").load(f"{sf_dir.rstrip('/')}/{name}.parquet").select("path", "length", "modificationTime")
+        sig.append((name, *sorted(map(tuple, files.collect()))))  # the files' metadata; their content is not read
     return tuple(sig)
 
 

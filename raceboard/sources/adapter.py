@@ -280,7 +280,7 @@ def staging_from_work(spark: SparkSession, sf_dir: str, work: dict[str, DataFram
     totals, laps = work["race_driver_totals"], work["result_laps"]
     main = keep("results", _results(totals, "main"))
     sprint = keep("sprint_results", _results(totals, "sprint"))
-    race_df = races(totals)
+    race_df = keep("races", races(totals))
     out = {
         "results": main,
         "sprint_results": sprint,

@@ -3,9 +3,10 @@
 The source workload rebuilds each table with DROP + CREATE TABLE AS, adds a few
 secondary indexes, then runs ANALYZE and VACUUM.  On a lake those become:
 
-* replace:     ``mode('overwrite')`` of the table folder (or catalog table);
-* index:       ``partitionBy`` on the equality-filtered prefix plus sorted files, so
-               readers prune folders and Parquet row groups (min/max statistics);
+* replace:     a new folder that a manifest makes current (``versions``), or ``mode('overwrite')``
+               of a plain folder or catalog table;
+* index:       ``partitionBy`` on the equality-filtered prefix plus sorted files and Bloom
+               filters, so readers prune folders and Parquet row groups;
 * statistics:  ``ANALYZE TABLE ... COMPUTE STATISTICS`` for catalog tables;
 * compaction:  a bounded number of files per partition at write time.
 """
@@ -14,45 +15,68 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Layout:
+    """``partition_by``: equality filters. ``sort_by``: range filters. ``lookup``: columns asked
+    for single values whatever the sort order (Parquet Bloom filters, so readers skip row
+    groups). ``segment``: the partition column whose values are replaced one by one.
+    ``together``: columns whose equal rows go to one file (the partition columns, unless given)."""
+
     partition_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
+    lookup: tuple[str, ...] = ()
+    segment: str | None = None
+    together: tuple[str, ...] = ()
 
 
-# Layout per report: partition on the columns every query filters by equality, sort
-# files on the range-filtered columns that follow in the source's index.
+# Layout per table: partition on the columns every query filters by equality, sort files on
+# the range-filtered columns that follow in the source's index. Facts have no year column;
+# theirs is kept in the folder names.
+FACT = Layout(("season",), ("race_k", "driver_k"), ("race_k", "driver_k"), "season", ("season", "race_k"))
 LAYOUTS: dict[str, Layout] = {
-    "report_seasons_metrics": Layout(("metric",), ("year", "type", "position")),
-    "report_season_metrics": Layout(("year", "metric"), ("is_cumulative", "position")),
-    "report_race_metrics": Layout(("year",), ("race_name", "driver_name", "lap")),
+    "fact_lap": FACT,
+    "fact_pit_stop": FACT,
+    "fact_qualifying": FACT,
+    "fact_race_result": FACT,
+    "dim_driver_constructor": Layout(("year",), ("driver_k",), (), "year"),
+    "report_seasons_metrics": Layout(("metric", "year"), ("type", "position"), ("id",), "year"),
+    "report_season_metrics": Layout(("year", "metric"), ("is_cumulative", "position"), ("id",), "year"),
+    "report_race_metrics": Layout(("year",), ("race_name", "driver_name", "lap"), ("race_name", "driver_name"), "year", ("year", "race_name")),
 }
 
 
-def _laid_out(df: DataFrame, layout: Layout) -> DataFrame:
+def laid_out(df: DataFrame, layout: Layout) -> DataFrame:
+    """Rows brought together by a rebalance: small groups share a task and a large one is split
+    over several, by the sizes that the shuffle has measured, so nothing is computed twice for
+    a sample and no task holds a whole season. Each task's rows are sorted."""
     keys = [*layout.partition_by, *layout.sort_by]
     if not keys:
         return df
-    return df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).sortWithinPartitions(*keys)
+    together = layout.together or layout.partition_by or layout.sort_by
+    return df.hint("rebalance", *together).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in keys])
 
 
-def write_table(df: DataFrame, path: str, layout: Layout | None = None) -> None:
-    """Replace the table at ``path`` with ``df`` in the given layout.
+def _writer(df: DataFrame, layout: Layout) -> DataFrameWriter:
+    """A table partition gets a few large sorted files, with min/max statistics and Bloom filters."""
+    writer = laid_out(df, layout).write
+    for column in layout.lookup:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    return writer.partitionBy(*layout.partition_by) if layout.partition_by else writer
+
 
-    With a layout, rows are range-partitioned on (partition columns, sort columns) and
-    sorted within each task: every task writes one contiguous, sorted slice, so a
-    table partition gets a few large files with tight min/max statistics, and a big
-    table partition (a whole season) is still split across many tasks.
-    """
-    layout = layout or Layout()
-    writer = _laid_out(df, layout).write.mode("overwrite")
-    if layout.partition_by:
-        writer = writer.partitionBy(*layout.partition_by)
-    writer.parquet(path)
+def write_layout(df: DataFrame, path: str, layout: Layout) -> None:
+    """Write ``df`` to the new folder ``path`` in the given layout."""
+    _writer(df, layout).parquet(path)
+
+
+def write_table(df: DataFrame, path: str, layout: Layout | None = None) -> None:
+    """Replace the table at ``path`` with ``df`` in the given layout (a plain folder: the old
+    rows go first; ``versions.VersionedStore`` keeps them until the new ones are complete)."""
+    _writer(df, layout or Layout()).mode("overwrite").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -62,11 +86,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def save_catalog_table(spark: SparkSession, df: DataFrame, name: str, layout: Layout | None = None,
                        analyze: bool = True) -> None:
     """Create-or-replace a managed catalog table, laid out as by ``write_table``, and collect its statistics."""
-    layout = layout or Layout()
-    writer = _laid_out(df, layout).write.mode("overwrite").format("parquet")
-    if layout.partition_by:
-        writer = writer.partitionBy(*layout.partition_by)
-    writer.saveAsTable(name)
+    _writer(df, layout or Layout()).mode("overwrite").format("parquet").saveAsTable(name)
     if analyze:
         spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
 
