@@ -32,7 +32,9 @@ def main() -> None:
 
     # work tables written on the way to a conformed table or report count towards it
     owner = {"work/lap_rows": "conformed", "work/race_lap_rows": "report_race_metrics",
-             "work/race_lap_data": "report_race_metrics"}
+             "work/race_lap_data": "report_race_metrics", "season_totals": "report_seasons_metrics",
+             "race_entries": "report_race_metrics", "work/race_order": "report_season_metrics", "work/race_context": "report_season_metrics",
+             **{f"work/{g}_{n}": f"report_{g}_metrics" for g in ("seasons", "season") for n in ("placed", "shifts")}}
 
     def timer(name: str, sec: float) -> None:
         name = owner.get(name, name)
@@ -51,10 +53,10 @@ def main() -> None:
     seasons = wh.table("report_seasons_metrics")
     season = wh.table("report_season_metrics")
     race = wh.table("report_race_metrics")
-    rr, races, drivers = wh.table("fact_race_result"), wh.table("dim_race"), wh.table("dim_driver")
+    rr, races, drivers = wh.table("race_entries"), wh.table("dim_race"), wh.table("dim_driver")
     runs = {
-        "q1_seasons_rank_cumulative": lambda: q.seasons_rank(seasons, *SEASONS_PODIUMS),
-        "q1_seasons_rank_points": lambda: q.seasons_rank(seasons, *SEASONS_POINTS),
+        "q1_seasons_rank_cumulative": lambda: q.seasons_rank(seasons, *SEASONS_PODIUMS, totals),
+        "q1_seasons_rank_points": lambda: q.seasons_rank(seasons, *SEASONS_POINTS, totals),
         "q1_seasons_rank": lambda: q.seasons_rank(seasons, *SEASONS_CHAMPIONS),
         "q2_season_rank_cumulative": lambda: q.season_rank(season, *SEASON_POINTS_CUM),
         "q3_race_bump": lambda: q.race_bump(race, BUMP_SEASON, BUMP_RACE),

@@ -57,16 +57,16 @@ def main(argv: list[str] | None = None) -> None:
     wh = Warehouse.open(spark, args.warehouse)
     if args.cmd == "seasons-rank":
         df = q.seasons_rank(wh.table("report_seasons_metrics"), args.metric, args.cumulative, args.start_year,
-                            args.top)
+                            args.top, wh.table("season_totals"))
     elif args.cmd == "season-rank":
         df = q.season_rank(wh.table("report_season_metrics"), args.metric, args.cumulative, args.season,
                            args.top)
     elif args.cmd == "race-bump":
         df = q.race_bump(wh.table("report_race_metrics"), args.season, args.race)
     elif args.cmd == "race-options":
-        df = q.race_options(wh.table("fact_race_result"), wh.table("dim_race"), args.season)
+        df = q.race_options(wh.table("race_entries"), wh.table("dim_race"), args.season)
     else:
-        df = q.focus_options(wh.table("fact_race_result"), wh.table("dim_race"), wh.table("dim_driver"),
+        df = q.focus_options(wh.table("race_entries"), wh.table("dim_race"), wh.table("dim_driver"),
                              args.season, args.race).orderBy("sort_key", "full_name")
     if args.out:
         df.write.mode("overwrite").parquet(args.out)

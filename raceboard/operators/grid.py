@@ -11,7 +11,7 @@ missed race, while a period made only of retirements (NULL flags) stays NULL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,15 @@ def fill_absent(n_present: Column, n_periods: Column, value: Column) -> Column:
     return F.when(missed, F.coalesce(value, F.lit(0))).otherwise(value)
 
 
+# More periods than this are no calendar: they are not gathered in one value.
+MAX_CALENDAR = 100_000
+
+
+def within_calendar(periods: DataFrame) -> bool:
+    """The period table has at most ``MAX_CALENDAR`` rows (it is counted, up to one more)."""
+    return periods.limit(MAX_CALENDAR + 1).count() <= MAX_CALENDAR
+
+
 def calendar_scalar(periods: DataFrame, fields: Sequence[str]) -> Column:
     """The whole (small) period table as one array value: a scalar subquery, run once.
 
@@ -51,6 +60,18 @@ def calendar_scalar(periods: DataFrame, fields: Sequence[str]) -> Column:
     return periods.agg(F.collect_list(F.struct(*fields)).alias("__calendar")).scalar()
 
 
+def calendar_lookup(periods: DataFrame, key: str, value: str) -> Callable[[Column], Column]:
+    """``value`` of the period with a given ``key`` (NULL is a key too), without a join.
+
+    One row per season is aggregated to a map and read as a scalar subquery. The period key
+    itself, as text, is the map's key: a NULL map key is not allowed.
+    """
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    entries = periods.select(F.struct(name(F.col(key)).alias("k"), F.col(value).alias("v")).alias("e"))
+    found = entries.agg(F.map_from_entries(F.collect_list("e"))).scalar()
+    return lambda c: F.try_element_at(found, name(c))
+
+
 def dense_period_metrics(entities: DataFrame, entity_key: str, periods: DataFrame,
                          sums: DataFrame) -> DataFrame:
     """Every entity × every period, left-joined to per-(year, entity) ``sums``.
@@ -58,11 +79,17 @@ def dense_period_metrics(entities: DataFrame, entity_key: str, periods: DataFram
     ``periods``: one row per period ``year`` (NULL = the seasons without races) with
     ``n_races``.  Each entity row explodes the period list (a scalar subquery), so the
     grid is a generator over the entity table: no join is needed to form it, and its
-    size is |entities| × |seasons|, the report's own grain.
+    size is |entities| × |seasons|, the report's own grain.  ``entities`` should hold keys
+    only; names are cheaper to attach to the result.
     """
     cols = entities.columns
-    grid = (entities.select(*cols, F.explode(calendar_scalar(periods, periods.columns)).alias("__p"))
-            .select(*cols, "__p.*"))
+    if within_calendar(periods):
+        grid = (entities.select(*cols, F.explode(calendar_scalar(periods, periods.columns)).alias("__p"))
+                .select(*cols, "__p.*"))
+    else:  # every entity meets the periods in parts, by an equality join
+        parts = 64
+        grid = (entities.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+                .join(periods.withColumn("__part", F.pmod(F.xxhash64("year"), F.lit(parts)).cast("int")), "__part").drop("__part"))
     s = sums.where(F.col("year").isNotNull())
     out = grid.join(s, ["year", entity_key], "left")
     return (out

@@ -9,6 +9,8 @@ agrees with ``O`` (e.g. an id bucket, a lap bucket).  Each cell is measured with
 partial aggregation, the measures are prefix-summed per group over the (small)
 table of cells, and rows are scanned locally inside their cell.  The only window
 over full rows is partitioned by (P, cell), whose size the cell width bounds.
+Where no such cells are known (a leaderboard of continuous values) ``range_ordinal`` splits
+the rows at sampled values instead.
 
 With ``hot_rows`` the cell path is used only for groups larger than ``hot_rows``:
 group sizes come from one partial aggregation, the hot keys (at most
@@ -23,12 +25,17 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from raceboard.session import scratch_path
+
 # A cell key: (expression, ascending).  Ascending keys sort NULLs first and
 # descending keys sort NULLs last, which is Spark's default for each direction.
 Cell = tuple[Column, bool]
 
-# Rows per id cell; bounds the largest window partition a leaderboard sorts.
-DEFAULT_ID_CELL = 1 << 20
+# Writes a table under a name and returns its read-back.
+Stage = Callable[[str, DataFrame], DataFrame]
+
+# Up to so many rows a partition, a task's own first rows are few enough to hand on.
+PARTIAL_TOP = 1000
 # A group with more rows than this is numbered through cells instead of one task.
 HOT_GROUP_ROWS = 1 << 22
 # Marker for "read the hot-group threshold from the session" (see ``tuning``).
@@ -38,7 +45,7 @@ AUTO = -1
 def tuning(df: DataFrame, name: str, default: int) -> int:
     """An integer knob from the session conf ``spark.raceboard.<name>`` (else ``default``).
 
-    Knobs: ``hotGroupRows`` (hot-group threshold), ``idCell``, ``lapCell``, ``orderKeyCell``,
+    Knobs: ``hotGroupRows`` (hot-group threshold), ``lapCell``, ``orderKeyCell``,
     ``priceCell`` (cell widths).  Cluster jobs size them to executor memory; tests shrink
     them to push every code path through the cell-numbering branch.
     """
@@ -46,6 +53,12 @@ def tuning(df: DataFrame, name: str, default: int) -> int:
     return int(value) if value else default
 
 
+def _scratch(name: str, df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sort(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_first() if ascending else c.desc_nulls_last()
 
@@ -133,20 +146,33 @@ def id_cell(id_col: str | Column, width: int) -> Column:
     return F.floor(c.cast("double") / F.lit(float(width))).cast("bigint")
 
 
-def leaderboard_position(df: DataFrame, partition_by: Sequence[str], value: str, id_col: str,
-                         name: str = "position", id_cell_width: int | None = None) -> DataFrame:
-    """Position by ``value`` DESC (NULLs last), ties by ``id_col`` ASC, within ``partition_by``.
+def range_ordinal(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column], name: str,
+                  stage: Stage | None = None, tasks: int | None = None) -> DataFrame:
+    """``row_number() over (partition_by order by order_by)`` in one exchange, whatever the groups' sizes.
 
-    Cells are (value, id bucket): leaderboard values are few distinct numbers, so the
-    cell table stays small while the numbered partitions never exceed the id bucket.
+    Rows are range-partitioned on (partition_by, order_by) at splitters that Spark samples, so
+    a large group spans as many tasks as its share of the rows, and are sorted there. A row's
+    place among its task's rows plus the number of its group's rows in the tasks before (one
+    count per task and group) is its rank. The placed rows are written first (``stage``):
+    counts and ranks must come from the same split.
     """
-    id_cell_width = id_cell_width or tuning(df, "idCell", DEFAULT_ID_CELL)
-    return ordinal(
-        df, partition_by,
-        [F.col(value).desc_nulls_last(), F.col(id_col).asc_nulls_last()],
-        name,
-        cells=[(F.col(value), False), (id_cell(id_col, id_cell_width), True)],
-    )
+    stage = stage or _scratch
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*[F.col(c).asc_nulls_first() for c in partition_by], *order_by]
+    placed = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    rows = stage("placed", placed).withColumn("__slice", F.shiftright("__at", 33))  # the task; its rows count on from there
+    slices = rows.groupBy(*partition_by, "__slice").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*partition_by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("__n").over(before), F.lit(0))
+    shifts = stage("shifts", slices.select(*partition_by, "__slice", (ahead - F.col("__first") + 1).alias("__shift")))
+    ranked = _null_safe_join(rows, shifts, [*partition_by, "__slice"], "inner").select("__l.*", "__r.__shift")
+    return ranked.withColumn(name, (F.col("__at") + F.col("__shift")).cast("int")).drop("__at", "__slice", "__shift")
+
+
+def leaderboard_position(df: DataFrame, partition_by: Sequence[str], value: str, id_col: str,
+                         name: str = "position", stage: Stage | None = None) -> DataFrame:
+    """Position by ``value`` DESC (NULLs last), ties by ``id_col`` ASC, within ``partition_by``."""
+    return range_ordinal(df, partition_by, [F.col(value).desc_nulls_last(), F.col(id_col).asc_nulls_last()], name, stage)
 
 
 def top_n(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column], n: int,
@@ -160,6 +186,39 @@ def top_n(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column]
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= F.lit(int(n)))
 
 
+def top_n_by_value(df: DataFrame, partition_by: Sequence[str], value: str, id_col: str, n: int,
+                   name: str = "position", stage: Stage | None = None) -> DataFrame:
+    """The first ``n`` rows per partition by ``value`` DESC (NULLs last), then ``id_col``.
+
+    Up to ``PARTIAL_TOP`` every task forwards ``n`` rows of a partition at most (``top_n``).
+    Beyond it that limit keeps nothing back and one task would sort a whole partition, so rows
+    that cannot be among the first ``n`` go by a value histogram and the rest is ranked by
+    ranges. Both give the same rows.
+    """
+    if n <= PARTIAL_TOP:
+        return top_n(df, partition_by, [F.col(value).desc_nulls_last(), F.col(id_col).asc_nulls_last()], n, name)
+    return leaderboard_position(can_qualify(df, partition_by, value, n), partition_by, value, id_col, name, stage).where(F.col(name) <= F.lit(int(n)))
+
+
+def can_qualify(df: DataFrame, partition_by: Sequence[str], value: str, n: int, bins: int = 1024) -> DataFrame:
+    """Rows whose value is in one of the highest ``bins`` that together hold ``n`` rows of the partition.
+
+    Bins are of equal width between the partition's extremes; rows without a value are below
+    all others. Two partial aggregations, whose results have at most ``bins`` rows a partition.
+    """
+    parts = list(partition_by)
+    ends = df.groupBy(*parts).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    share = (F.col(value) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+    bin_ = F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.least(F.lit(bins - 1), F.floor(F.coalesce(share, F.lit(0.0)) * bins).cast("int")))
+    binned = _null_safe_join(df, ends, parts, "inner").select("__l.*", "__r.__low", "__r.__high").withColumn("__bin", bin_)
+    above = Window.partitionBy(*parts).orderBy(F.col("__bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    lowest = (binned.groupBy(*parts, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+              .withColumn("__ahead", F.coalesce(F.sum("__n").over(above), F.lit(0))).where(F.col("__ahead") < n)
+              .groupBy(*parts).agg(F.min("__bin").alias("__least")))
+    kept = _null_safe_join(binned, lowest, parts, "inner").select("__l.*", "__r.__least").where(F.col("__bin") >= F.col("__least"))
+    return kept.select(*df.columns)
+
+
 def best_of_group(df: DataFrame, group_by: Sequence[str], sort_key: Sequence[Column],
                   out: dict[str, str]) -> DataFrame:
     """One row per group: the row with the smallest ``sort_key`` (a tuple compared left to right).

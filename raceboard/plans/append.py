@@ -128,6 +128,8 @@ def append(spark: SparkSession, out_dir: str, added: Mapping[str, DataFrame], ti
     for n in thunks:
         if n not in build.tables:
             build.carry(n)
+    seasons_report = versions.frame("report_seasons_metrics", build.tables["report_seasons_metrics"])
+    keep("season_totals", reports.season_totals(seasons_report))  # totals run through all later seasons
     build.commit()
     return _opened(versions)
 

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raceboard.functions.columns import NO_FOCUS
 from raceboard.operators.cumulative import running_total
-from raceboard.operators.ranking import top_n
+from raceboard.operators.ranking import top_n_by_value
 
 LEADERBOARD_COLUMNS = ("year", "type", "id", "name", "constructor_name", "constructor_color", "wiki_url",
                        "season_wiki_url", "metric_value", "position")
+# So many rows of each season or race and type are few enough for one task to put in order.
+FEW = 1000
 
 
 def _check_top_n(top: int) -> int:
@@ -26,37 +28,53 @@ def _check_top_n(top: int) -> int:
     return top
 
 
-def seasons_rank(report: DataFrame, metric: str, cumulative: bool, start_year: int, top: int) -> DataFrame:
+def seasons_rank(report: DataFrame, metric: str, cumulative: bool, start_year: int, top: int,
+                 totals: DataFrame | None = None) -> DataFrame:
     """Top ``top`` per season and type for ``metric`` from ``start_year`` on.
 
     Cumulative: totals run from ``start_year`` (per entity, seasons in order) and are
-    re-ranked per season.  Only the four narrow columns are shuffled for the running
-    total and the rank (planned as a partial WindowGroupLimit); the winners then pick up
-    names, colours and links from a pruned scan, in whichever join their size calls for.
+    re-ranked per season.  With the stored ``totals`` (``reports.season_totals``) each is the
+    difference of the totals through its season and through the last season before
+    ``start_year``, where every entity has a row; without them a running window sums.  Only
+    narrow columns are shuffled for the rank; the winners then pick up names, colours and
+    links from a pruned scan, in whichever join their size calls for.
     Rows come by year, type and falling position.
     """
     top = _check_top_n(top)
     m = report.where((F.col("year") >= F.lit(int(start_year))) & (F.col("metric") == F.lit(metric)))
     if not cumulative:
-        return m.where(F.col("position") <= top).select(*LEADERBOARD_COLUMNS).orderBy("year", "type", F.col("position").desc())
-    narrow = running_total(m.select("year", "type", "id", "metric_value"), ["id", "type"], [F.col("year").asc()],
-                           "metric_value", "cumulative_metric_value")
-    winners = top_n(narrow, ["year", "type"], [F.col("cumulative_metric_value").desc_nulls_last(), F.col("id").asc()],
-                    top, "position").select("year", "type", "id", "cumulative_metric_value", "position")
+        return _shown(m.where(F.col("position") <= top).select(*LEADERBOARD_COLUMNS), top, "year", "type", F.col("position").desc())
+    if totals is None:
+        narrow = running_total(m.select("year", "type", "id", "metric_value"), ["id", "type"], [F.col("year").asc()],
+                               "metric_value", "cumulative_metric_value").drop("metric_value")
+    else:
+        of_metric = totals.where(F.col("metric") == F.lit(metric))
+        earlier = of_metric.where(F.col("year") < F.lit(int(start_year)))
+        before = earlier.where(F.col("year") == earlier.agg(F.max("year")).scalar()).select("type", "id", F.col("total").alias("before"))
+        since = F.col("total") - F.coalesce("before", F.lit(0))
+        narrow = (of_metric.where(F.col("year") >= F.lit(int(start_year))).join(before, ["type", "id"], "left")
+                  .select("year", "type", "id", since.cast("double").alias("cumulative_metric_value")))
+    winners = top_n_by_value(narrow, ["year", "type"], "cumulative_metric_value", "id", top).select(
+        "year", "type", "id", "cumulative_metric_value", "position")
     attrs = m.select("year", "type", "id", "name", "constructor_name", "constructor_color", "wiki_url",
                      "season_wiki_url")
-    return (attrs.join(winners, ["year", "type", "id"], "inner")
-            .withColumnRenamed("cumulative_metric_value", "metric_value")
-            .select(*LEADERBOARD_COLUMNS).orderBy("year", "type", F.col("position").desc()))
+    return _shown(attrs.join(winners, ["year", "type", "id"], "inner").withColumnRenamed("cumulative_metric_value", "metric_value")
+                  .select(*LEADERBOARD_COLUMNS), top, "year", "type", F.col("position").desc())
+
+
+def _shown(rows: DataFrame, top: int, *order: str | Column) -> DataFrame:
+    """Rows in order. The first few of each frame fit one task, which sorts them; more are
+    sorted by ranges, which costs a sampling job and an exchange."""
+    return rows.repartition(1).sortWithinPartitions(*order) if top <= FEW else rows.orderBy(*order)
 
 
 def season_rank(report: DataFrame, metric: str, cumulative: bool, season: int, top: int) -> DataFrame:
     """Top ``top`` per race of ``season`` for ``metric`` (per race or running through the season),
     by race date, type and falling position."""
     top = _check_top_n(top)
-    return report.where((F.col("year") == F.lit(int(season))) & (F.col("metric") == F.lit(metric))
-                        & (F.col("is_cumulative") == F.lit(bool(cumulative)))
-                        & (F.col("position") <= top)).orderBy("race_date", "type", F.col("position").desc())
+    return _shown(report.where((F.col("year") == F.lit(int(season))) & (F.col("metric") == F.lit(metric))
+                               & (F.col("is_cumulative") == F.lit(bool(cumulative))) & (F.col("position") <= top)),
+                  top, "race_date", "type", F.col("position").desc())
 
 
 def race_bump(report: DataFrame, season: int, race: str) -> DataFrame:
@@ -65,17 +83,28 @@ def race_bump(report: DataFrame, season: int, race: str) -> DataFrame:
             .orderBy("year", "race_date", "constructor_name", "driver_name", "lap"))
 
 
+def _of_season(results: DataFrame, season: int) -> DataFrame:
+    """Entries (``reports.race_entries``) have their season's folder; result rows are joined to its races."""
+    return results.where(F.col("year") == F.lit(int(season))) if "year" in results.columns else results
+
+
 def race_options(results: DataFrame, races: DataFrame, season: int) -> DataFrame:
-    """Names of the season's races that have results, with their (latest) date for ordering."""
+    """Names of the season's races that have results, with their (latest) date for ordering.
+
+    ``results``: the race entries, of which only the season's folder is read, or the whole fact.
+    """
     r = races.where(F.col("year") == F.lit(int(season))).select("race_k", "name", "date")
-    named = results.select("race_k").distinct().join(r, "race_k", "inner")
+    named = _of_season(results, season).select("race_k").distinct().join(r, "race_k", "inner")
     return named.groupBy("name").agg(F.max("date").alias("race_date")).orderBy("race_date", "name")
 
 
 def focus_options(results: DataFrame, races: DataFrame, drivers: DataFrame, season: int, race: str) -> DataFrame:
-    """Driver names of one race's main results, plus the leading 'None' option (sort_key 0)."""
+    """Driver names of one race's main results, plus the leading 'None' option (sort_key 0).
+
+    ``results`` as in ``race_options``.
+    """
     r = races.where((F.col("year") == F.lit(int(season))) & (F.col("name") == F.lit(race))).select("race_k")
-    rr = results.where(~F.col("is_sprint")).select("race_k", "driver_k")
+    rr = _of_season(results, season).where(~F.col("is_sprint")).select("race_k", "driver_k")
     names = (rr.join(r, "race_k", "inner").join(drivers.select("driver_k", "full_name"), "driver_k", "left")
              .select("full_name").distinct())
     listed = names.select(F.col("full_name"), F.lit(1).alias("sort_key"))

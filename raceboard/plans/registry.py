@@ -54,7 +54,7 @@ def _step(fn: Callable[[dict], DataFrame], cols: tuple[str, ...] | None = None)
 
 
 def _seasons_rank(params) -> Query:
-    return lambda spark, sf: queries.seasons_rank(_wh(spark, sf).table("report_seasons_metrics"), *params)
+    return lambda spark, sf: queries.seasons_rank(_wh(spark, sf).table("report_seasons_metrics"), *params, _wh(spark, sf).table("season_totals"))
 
 
 def _season_rank(params) -> Query:
@@ -86,7 +86,10 @@ def stg_drivers_null_markers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def palette_assign(spark: SparkSession, sf: str) -> DataFrame:
-    colors = _wh(spark, sf).staging["constructor_color"]
+    """The colour file, written as CSV and read back by name, with the palette dealt by key order."""
+    folder = scratch_path(spark, "staging-colors")
+    csv_files.write_staging({"constructor_color": _wh(spark, sf).staging["constructor_color"]}, folder)
+    colors = csv_files.read_staging(spark, folder, ["constructor_color"])["constructor_color"]
     return cycle_palette(colors.drop("auto_color"), "constructorId", "auto_color") \
         .select("constructorId", "name", "auto_color", "custom_color")
 
@@ -175,7 +178,7 @@ def registry() -> dict[str, Query]:
         "season_rank_wins": _season_rank(SEASON_WINS),
         "race_bump": _race,
         "race_options": lambda spark, sf: queries.race_options(
-            _wh(spark, sf).table("fact_race_result"), _wh(spark, sf).table("dim_race"), BUMP_SEASON),
+            _wh(spark, sf).table("race_entries"), _wh(spark, sf).table("dim_race"), BUMP_SEASON),
         "focus_options": lambda spark, sf: _focus(spark, sf),
         "metric_domain": lambda spark, sf: queries.metric_domain(_wh(spark, sf).table("report_seasons_metrics")),
         "year_domain": lambda spark, sf: _year_domain(spark, sf),
@@ -202,7 +205,7 @@ def registry() -> dict[str, Query]:
 
 def _focus(spark: SparkSession, sf: str) -> DataFrame:
     wh = _wh(spark, sf)
-    return queries.focus_options(wh.table("fact_race_result"), wh.table("dim_race"), wh.table("dim_driver"),
+    return queries.focus_options(wh.table("race_entries"), wh.table("dim_race"), wh.table("dim_driver"),
                                  BUMP_SEASON, BUMP_RACE)
 
 

@@ -56,7 +56,8 @@ class Warehouse:
 
     @cached_property
     def reports(self) -> dict[str, DataFrame]:
-        return reports.build_reports(self.conformed)
+        built = reports.build_reports(self.conformed)
+        return built | {"season_totals": reports.season_totals(built["report_seasons_metrics"])}
 
     def table(self, name: str) -> DataFrame:
         if name in self.conformed:
@@ -152,6 +153,7 @@ def _build(spark: SparkSession, make_staging: Callable[[Keep], dict[str, DataFra
     staging |= make_staging(keep)
     conformed = _wave(keep, conform.builders(staging, persist=work_table), parallel)
     built = _wave(keep, reports.builders(conformed, persist=work_table), parallel)
+    built["season_totals"] = keep("season_totals", reports.season_totals(built["report_seasons_metrics"]))
     build.commit()
     return Warehouse(spark, staging, conformed, built)
 
@@ -161,7 +163,7 @@ def _opened(versions: VersionedStore) -> Warehouse:
     if not tables:
         raise FileNotFoundError(f"no complete build in {versions.root}")
     read = lambda names, prefix="": {n: versions.frame(prefix + n, tables[prefix + n]) for n in names if prefix + n in tables}
-    return Warehouse(versions.spark, read(STAGING, "staging/"), read(conform.builders({})), read(reports.builders({})))
+    return Warehouse(versions.spark, read(STAGING, "staging/"), read(conform.builders({})), read([*reports.builders({}), "season_totals"]))
 
 
 _BUILT: dict[tuple, Warehouse] = {}

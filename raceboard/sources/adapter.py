@@ -256,7 +256,8 @@ def constructor_color(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status(spark: SparkSession) -> DataFrame:
     """The status code table (a fixed lookup, like the source's status file)."""
-    return spark.createDataFrame(list(STATUS), "statusId int, status string")
+    values = ", ".join(f"({k}, '{v}')" for k, v in STATUS)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(statusId, status)")  # Spark knows its size, so it is broadcast
 
 
 def adapter_work(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

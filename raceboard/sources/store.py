@@ -43,6 +43,8 @@ LAYOUTS: dict[str, Layout] = {
     "fact_qualifying": FACT,
     "fact_race_result": FACT,
     "dim_driver_constructor": Layout(("year",), ("driver_k",), (), "year"),
+    "race_entries": Layout(("year",), ("race_k", "driver_k"), (), "year"),
+    "season_totals": Layout(("metric", "year"), ("type", "id"), (), "year"),
     "report_seasons_metrics": Layout(("metric", "year"), ("type", "position"), ("id",), "year"),
     "report_season_metrics": Layout(("year", "metric"), ("is_cumulative", "position"), ("id",), "year"),
     "report_race_metrics": Layout(("year",), ("race_name", "driver_name", "lap"), ("race_name", "driver_name"), "year", ("year", "race_name")),

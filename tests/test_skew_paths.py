@@ -12,7 +12,7 @@ from tests.test_oracle import digest
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{SF}/lineitem.parquet"), reason="no test tables")
 
-KNOBS = {"hotGroupRows": "3", "lapCell": "2", "orderKeyCell": "64", "priceCell": "5", "idCell": "4"}
+KNOBS = {"hotGroupRows": "3", "lapCell": "2", "orderKeyCell": "64", "priceCell": "5"}
 TABLES = ("fact_lap", "fact_pit_stop", "fact_qualifying", "fact_race_result", "report_seasons_metrics",
           "report_season_metrics", "report_race_metrics")
 
