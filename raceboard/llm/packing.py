@@ -36,7 +36,8 @@ from raceboard.session import share_code
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks of these characters are cut and merged here; any other goes through the tokenizer file as a whole.
 _PLAIN = regex.compile(r"[\x21-\x7E¡-¬®-įĲ-ž]*")
-_CACHE_ROOM = 300_000
+_CACHE_ROOM = 16 << 20  # bytes, about
+_CACHED, _EACH = 64, 180  # the longest chunk that is kept; bytes of an entry beside its characters and ids
 
 
 class WordBpe:
@@ -44,12 +45,12 @@ class WordBpe:
 
     White space is dropped before merging, so a text's ids are its chunks' ids in order. New
     chunks of plain Latin text go through the same merges as byte ranks, all others through the
-    tokenizer itself. The memory is emptied when it has ``_CACHE_ROOM`` chunks.
+    tokenizer itself. The memory is emptied when it holds about ``_CACHE_ROOM`` bytes. A text
+    that names one of the file's added tokens goes through the file's tokenizer whole.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -57,6 +58,7 @@ class WordBpe:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         added = {t["content"] for t in spec["added_tokens"]}
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(added))) or "(?!)", regex.IGNORECASE)
         ranks = {}
         for token, rank in spec["model"]["vocab"].items():
             if token not in added:
@@ -64,6 +66,7 @@ class WordBpe:
                 ranks[bytes(letters[c] for c in body) + b"\xff" * (body != token)] = rank  # 0xFF is in no UTF-8 text: the word end
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _chunk(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk):
@@ -74,18 +77,25 @@ class WordBpe:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split() alone
+        if any(c in text for c in "\x1c\x1d\x1e\x1f") or self.marks.search(text):  # the former are white space for str.split() alone
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         chunks, cache = text.split(), self.cache
         try:
             return b"".join(map(cache.__getitem__, chunks))
         except KeyError:
-            if len(cache) > _CACHE_ROOM:
-                cache.clear()
+            own: dict[str, bytes] = {}
             for c in set(chunks):
-                if c not in cache:
-                    cache[c] = self._chunk(c)
-            return b"".join(map(cache.__getitem__, chunks))
+                found = cache.get(c)
+                if found is None:
+                    found = self._chunk(c)
+                    if len(c) <= _CACHED:
+                        if self.held > _CACHE_ROOM:
+                            cache.clear()
+                            self.held = 0
+                        cache[c] = found
+                        self.held += len(c) + len(found) + _EACH
+                own[c] = found
+            return b"".join(map(own.__getitem__, chunks))
 
 
 _LOADED: dict[str, WordBpe] = {}

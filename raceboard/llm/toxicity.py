@@ -155,12 +155,33 @@ def decode(stretch: str, model: np.ndarray, edges: bool = True) -> str:
     return "".join(reversed(out)).strip()
 
 
+class Memory(dict):
+    """What was worked out for chunks, emptied when it holds about ``room`` bytes.
+
+    Chunks over ``LONGEST`` characters seldom come again and are not kept.
+    """
+
+    LONGEST, EACH = 64, 150  # bytes of an entry beside its characters
+
+    def __init__(self, room: int = 24 << 20):
+        super().__init__()
+        self.room, self.size = room, 0
+
+    def keep(self, chunk: str, found: tuple) -> tuple:
+        if len(chunk) <= self.LONGEST:
+            if self.size >= self.room:
+                self.clear()
+                self.size = 0
+            self[chunk] = found
+            self.size += len(chunk) + self.EACH + sum(60 + len(str(f)) for f in found)
+        return found
+
+
 class Restorer:
-    """Decodes suspicious stretches, remembering readings (emptied when full)."""
+    """Decodes suspicious stretches."""
 
-    def __init__(self, model: np.ndarray, room: int = 300_000):
-        self.model, self.room = model, room
-        self.words: dict[str, tuple[str, ...]] = {}
+    def __init__(self, model: np.ndarray):
+        self.model = model
 
     def reading(self, chunk: str, edges: bool = True) -> str | None:
         """The restored form of a chunk without white space, or None if it has but one reading.
@@ -191,20 +212,15 @@ class Restorer:
 
     def chunk_words(self, chunk: str) -> tuple[str, ...]:
         """The words of a lower-cased chunk: as they stand, and as restored."""
-        got = self.words.get(chunk)
-        if got is None:
-            got = tuple(dict.fromkeys(w for r in [*self.readings(chunk), chunk] for w in WORD.findall(r)))
-            if len(self.words) >= self.room:
-                self.words.clear()
-            self.words[chunk] = got
-        return got
-
-    def text_words(self, text: str | None) -> set[str]:
+        return tuple(dict.fromkeys(w for r in [*self.readings(chunk), chunk] for w in WORD.findall(r)))
+
+    def text_words(self, text: str | None, memory: Memory) -> set[str]:
         """Distinct words of the restored text."""
         low = (text or "").lower()
         out: set[str] = set()
         for chunk in set(low.split()):
-            out.update(self.chunk_words(chunk))
+            got = memory.get(chunk)
+            out.update(memory.keep(chunk, self.chunk_words(chunk)) if got is None else got)
         for m in SPACED.finditer(low):
             out.update(WORD.findall(self.spaced(m[0])))
         return out
@@ -264,9 +280,9 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train
     train = keyed(docs, doc_id, text).withColumnRenamed("doc_id", "id").join(F.broadcast(marks), "id")  # max_train rows at most
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(model)
+        restorer, memory = Restorer(model), Memory()
         for batch in batches:
-            yield pd.DataFrame({"mark": batch["mark"], "words": [sorted(restorer.text_words(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"mark": batch["mark"], "words": [sorted(restorer.text_words(t, memory)) for t in batch["text"]]})
 
     bags = map_batches(train.select("mark", "text"), words, "mark int, words array<string>")
     sketch = F.slice(F.sort_array(F.transform("words", lambda w: F.xxhash64(w))), 1, 8)
@@ -297,8 +313,7 @@ def scorer(spark: SparkSession, model: np.ndarray, lexicon: dict[str, float], ba
     share_code(spark)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        restorer = Restorer(model)
-        known: dict[str, tuple[tuple[str, float], ...]] = {}
+        restorer, known = Restorer(model), Memory()
 
         def hits(words: Iterable[str]) -> tuple[tuple[str, float], ...]:
             found = ((w, max((lexicon.get(f, 0.0) for f in features(w)), default=0.0)) for w in words)
@@ -309,9 +324,7 @@ def scorer(spark: SparkSession, model: np.ndarray, lexicon: dict[str, float], ba
             for chunk in set(low.split()):
                 got = known.get(chunk)
                 if got is None:
-                    if len(known) >= restorer.room:
-                        known.clear()
-                    got = known[chunk] = hits(restorer.chunk_words(chunk))
+                    got = known.keep(chunk, hits(restorer.chunk_words(chunk)))
                 if got:
                     words.update(got)
             for m in SPACED.finditer(low):

@@ -71,7 +71,6 @@ _TOK = []
 def ids(text, end=2):
     if not _TOK:
         _TOK.append(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
-        _TOK[0].encode_special_tokens = True
     return _TOK[0].encode(text or "", add_special_tokens=False).ids + [end]
 
 

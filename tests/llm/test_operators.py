@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,61 @@ def test_toxicity(spark):
     assert got[1006][0].score == got[1007][0].score
 
 
+def test_decode_equals_all_paths():
+    """Viterbi against every path of the lattice, priced on its own."""
+    from itertools import product
+    rng = random.Random(5)
+    counts = rng.choices(range(1, 60), k=toxicity.SIZE ** 3)
+    model = -np.log(np.array(counts, np.float64).reshape((toxicity.SIZE,) * 3) / 60).astype(np.float32)
+
+    def price(readings):
+        a = b = 0
+        total = 0.0
+        for letters, cost in readings:
+            total += cost
+            for letter in letters:
+                z = toxicity._AT.get(letter, 0)
+                if b or z:  # a boundary after a boundary is the same one
+                    total += float(model[a, b, z])
+                    a, b = b, z
+        return total
+
+    tried = 0
+    for stretch in ["1d1ot", "m0r0n", "s.t.u", "$tup1d", "(1d)", "aaab", "h4.te", "a-b", "@ss!", "l33t", "00ps", "x1", *("".join(rng.choices("ab1043$.-!", k=6)) for _ in range(40))]:
+        for edges in (True, False):
+            steps = [*toxicity.lattice(stretch, edges), [(" ", 0.0)]]
+            paths = list(product(*steps))
+            least = min(map(price, paths))
+            got = toxicity.decode(stretch, model, edges)
+            best = {"".join(x for x, _ in p).strip() for p in paths if price(p) <= least + 1e-4}
+            assert got in best, (stretch, got, best)
+            tried += len(paths)
+    assert tried > 3000
+
+
+def test_score_equals_a_plain_noisy_or(spark):
+    """The scorer against one pass over all words of the restored text, whatever its memory holds."""
+    lexicon = {"idiot": 0.9, "idio-": 0.5, "moron": 0.8, "stup-": 0.6}
+    model = toxicity.language_model(toxicity.trigram_counts(table(spark, [(i, prose(i, 200)) for i in range(5)] + [(9, "idiot moron stupid idiots " * 30)])))
+    texts = [None, "", "you 1diot", "idiot idiot moron", "s t u p i d", "stupidly idiotic m0ron", prose(4, 300), "x" * 500 + " moron", "clean words only"]
+    restorer = toxicity.Restorer(model)
+    want = []
+    for t in texts:
+        found = {w for chunk in set((t or "").lower().split()) for w in restorer.chunk_words(chunk)}
+        found |= {w for m in toxicity.SPACED.finditer((t or "").lower()) for w in toxicity.WORD.findall(restorer.spaced(m[0]))}
+        left = 0.99
+        for w in sorted(found):
+            left *= 1 - max((lexicon.get(f, 0.0) for f in toxicity.features(w)), default=0.0)
+        want.append(1 - left)
+    score = toxicity.scorer(spark, model, lexicon, 0.01)
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(score("text").alias("s")).collect()]
+    assert got == pytest.approx(want, abs=1e-12) and max(got) > 0.9 and min(got) == pytest.approx(0.01)
+    memory = toxicity.Memory(room=2000)
+    for i in range(500):
+        memory.keep(f"chunk{i}", ("word",))
+    assert 0 < len(memory) < 20 and memory.get("x" * 70) is None and memory.keep("x" * 70, ("a",)) == ("a",) and "x" * 70 not in memory
+
+
 def test_toxicity_decodes_every_stretch(spark):
     """Long runs, stretches joined by dots or parted by = / \\ :, one separator, edge signs; not URLs, digests, numbers."""
     texts, labels = toxic_corpus()
@@ -206,8 +262,12 @@ ODD = "naïve ﬁne Ünïcödé ΣΑΣ İstanbul é 日本語 a b x y don't
 def test_tokenizer_equals_the_file(spark):
     import public_tokenizers
     bpe = packing.WordBpe(public_tokenizers.path(packing.TOKENIZER))
-    for text in [ODD, *ODD.split(" "), "", " ", prose(3, 500), "The THE the's 'S can't"]:
+    marks = ["hello <|endoftext|>", "<|startoftext|>x<|ENDOFTEXT|> <|endoftext|><|endoftext|>", "a<|endoftext|>b \n <|startoftext|> c", "<|end of text|> <|endoftext"]
+    rng, signs = random.Random(8), " \n'<|>.,abcdeIstßéÉłŚ日本🙂\u0301\u00ad½²ªx1209"
+    drawn = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) + rng.choice(["", "", "<|endoftext|>"]) for _ in range(6000)]
+    for text in [ODD, *ODD.split(" "), "", " ", prose(3, 500), "The THE the's 'S can't", "y" * 300 + " " + "y" * 300, *marks, *drawn]:
         assert list(memoryview(bpe.ids(text)).cast("I")) == brute.ids(text)[:-1], text
+    assert 49407 in brute.ids(marks[0]) and 49406 in brute.ids(marks[1])
 
 
 def test_packing(spark):
