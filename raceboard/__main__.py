@@ -2,6 +2,8 @@
 
     python -m raceboard build --tables /root/testdata/sf0.1 --out <dir>
     python -m raceboard build --staging-csv <folder of name.csv files> --out <dir>
+    python -m raceboard append --staging-csv <folder with some of the files> --warehouse <dir>
+    python -m raceboard prune --warehouse <dir>
     python -m raceboard seasons-rank --warehouse <dir> --metric Points --cumulative --start-year 1998 --top 10
     python -m raceboard season-rank  --warehouse <dir> --metric Points --season 1999 --top 10
     python -m raceboard race-bump    --warehouse <dir> --season 1999 --race "Race 8"
@@ -17,8 +19,11 @@ from __future__ import annotations
 import argparse
 
 from raceboard.plans import queries as q
+from raceboard.plans.append import append
 from raceboard.plans.warehouse import Warehouse
 from raceboard.session import get_spark
+from raceboard.sources import csv_files
+from raceboard.sources.versions import VersionedStore
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -29,6 +34,12 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--tables", help="folder with the star-schema parquet tables")
     src.add_argument("--staging-csv", help="folder with <name>.csv staging files")
     b.add_argument("--out", required=True)
+    b.add_argument("--database", help="register the tables in this catalog database, with statistics")
+    b.add_argument("--multi-line", choices=["yes", "no"], help="cells of the staging files hold newlines (looked up per file, if not given)")
+    a = sub.add_parser("append")
+    a.add_argument("--staging-csv", required=True, help="folder with the <name>.csv files to add (any of the inputs)")
+    a.add_argument("--warehouse", required=True)
+    sub.add_parser("prune").add_argument("--warehouse", required=True)
     for name in ("seasons-rank", "season-rank", "race-bump", "race-options", "focus-options"):
         p = sub.add_parser(name)
         p.add_argument("--warehouse", required=True)
@@ -48,11 +59,19 @@ def main(argv: list[str] | None = None) -> None:
 
     if args.cmd == "build":
         if args.tables:
-            Warehouse.materialize(spark, args.tables, args.out)
+            Warehouse.materialize(spark, args.tables, args.out, database=args.database)
         else:
-            Warehouse.from_csv(spark, args.staging_csv).write(args.out)
+            multi_line = None if args.multi_line is None else args.multi_line == "yes"
+            Warehouse.from_csv(spark, args.staging_csv, multi_line).write(args.out, database=args.database)
         print(f"built {args.out}")
         return
+    if args.cmd == "append":
+        append(spark, args.warehouse, csv_files.read_present(spark, args.staging_csv))
+        print(f"appended to {args.warehouse}")
+        return
+    if args.cmd == "prune":
+        print("\n".join(VersionedStore(spark, args.warehouse).prune()))
+        return
 
     wh = Warehouse.open(spark, args.warehouse)
     if args.cmd == "seasons-rank":

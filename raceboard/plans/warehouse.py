@@ -47,8 +47,9 @@ class Warehouse:
         return cls(spark, adapter.staging_from_tables(spark, sf_dir))
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, folder: str) -> "Warehouse":
-        return cls(spark, csv_files.read_staging(spark, folder))
+    def from_csv(cls, spark: SparkSession, folder: str, multi_line: bool | None = None) -> "Warehouse":
+        """A lazy warehouse over ``<name>.csv`` files; files without newlines in cells are split."""
+        return cls(spark, csv_files.read_staging(spark, folder, multi_line=multi_line))
 
     @cached_property
     def conformed(self) -> dict[str, DataFrame]:
@@ -65,17 +66,21 @@ class Warehouse:
         return self.reports[name]
 
     def write(self, out_dir: str, timer: Callable[[str, float], None] | None = None,
-              parallel: int = 4) -> "Warehouse":
+              parallel: int = 4, database: str | None = None) -> "Warehouse":
         """Write this warehouse's staging, conformed tables and reports (e.g. one read from CSV).
 
         The typed staging tables are written first, so every staging file is parsed once
-        however many tables are built from it; ``append`` adds to them later.
+        however many tables are built from it; ``append`` adds to them later. With
+        ``database`` the tables are registered there with their statistics (``register``).
         """
         def staging(keep: Keep) -> dict[str, DataFrame]:
             written = _wave(keep, {f"staging/{n}": (lambda df=df: df) for n, df in self.staging.items()}, parallel)
             return {n: written[f"staging/{n}"] for n in self.staging}
 
-        return _build(self.spark, staging, out_dir, timer, parallel)
+        built = _build(self.spark, staging, out_dir, timer, parallel)
+        if database:
+            register(self.spark, out_dir, database)
+        return built
 
     @classmethod
     def open(cls, spark: SparkSession, out_dir: str) -> "Warehouse":
@@ -84,7 +89,8 @@ class Warehouse:
 
     @classmethod
     def materialize(cls, spark: SparkSession, sf_dir: str, out_dir: str,
-                    timer: Callable[[str, float], None] | None = None, parallel: int = 4) -> "Warehouse":
+                    timer: Callable[[str, float], None] | None = None, parallel: int = 4,
+                    database: str | None = None) -> "Warehouse":
         """Build every table from the star-schema tables in ``sf_dir`` into ``out_dir``.
 
         Three waves: the adapter's two shared intermediates, the ten conformed tables,
@@ -101,7 +107,10 @@ class Warehouse:
             work = {n.split("/", 1)[1]: df for n, df in written.items()}
             return adapter.staging_from_work(spark, sf_dir, work, persist=lambda n, df: keep(f"staging/{n}", df))
 
-        return _build(spark, staging, out_dir, timer, parallel)
+        built = _build(spark, staging, out_dir, timer, parallel)
+        if database:
+            register(spark, out_dir, database)
+        return built
 
 
 Keep = Callable[..., DataFrame]
@@ -158,6 +167,20 @@ def _build(spark: SparkSession, make_staging: Callable[[Keep], dict[str, DataFra
     return Warehouse(spark, staging, conformed, built)
 
 
+def register(spark: SparkSession, out_dir: str, database: str, parallel: int = 4) -> list[str]:
+    """Register the newest build's tables in ``database`` with statistics and return their names.
+
+    A table that an append has put together from folders of several builds has no one
+    location; it is not registered until the next full build.
+    """
+    versions = VersionedStore(spark, out_dir)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    single = {n: t.folders[0] for n, t in versions.current().items() if "/" not in n and len(t.folders) == 1}
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        list(pool.map(lambda n: store.register_analyzed(spark, f"{database}.{n}", f"{versions.root}/{single[n]}"), sorted(single)))
+    return sorted(single)
+
+
 def _opened(versions: VersionedStore) -> Warehouse:
     tables = versions.current()
     if not tables:

@@ -93,6 +93,22 @@ def save_catalog_table(spark: SparkSession, df: DataFrame, name: str, layout: La
         spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
 
 
+def register_analyzed(spark: SparkSession, name: str, path: str) -> None:
+    """Make the table folder ``path`` the catalog table ``name`` (replacing an earlier entry, not
+    its files) and collect row counts, column statistics and histograms, from which the
+    optimizer estimates filters and orders joins (``spark.sql.cbo.enabled``)."""
+    drop_table(spark, name)
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+    if any(c.isPartition for c in spark.catalog.listColumns(name)):
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    before = spark.conf.get("spark.sql.statistics.histogram.enabled")
+    spark.conf.set("spark.sql.statistics.histogram.enabled", "true")
+    try:
+        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+    finally:
+        spark.conf.set("spark.sql.statistics.histogram.enabled", before)
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 

@@ -140,7 +140,7 @@ def test_a_build_killed_half_way_leaves_the_old_tables(spark, parts, tmp_path, m
         Warehouse.open(spark, out)
     Warehouse(spark, small).write(out)
     want = {n: Warehouse.open(spark, out).table(n).collect() for n in ("dim_race", "report_seasons_metrics")}
-    monkeypatch.setattr(reports, "report_season_metrics", lambda t: t["fact_lap"].select(F.raise_error(F.lit("lost"))))
+    monkeypatch.setattr(reports, "report_season_metrics", lambda t, persist=None: t["fact_lap"].select(F.raise_error(F.lit("lost"))))
     with pytest.raises(Exception, match="lost"):
         Warehouse(spark, full).write(out)
     opened = Warehouse.open(spark, out)
