@@ -13,9 +13,8 @@ Where no such cells are known (a leaderboard of continuous values) ``range_ordin
 the rows at sampled values instead.
 
 With ``hot_rows`` the cell path is used only for groups larger than ``hot_rows``:
-group sizes come from one partial aggregation, the hot keys (at most
-rows / hot_rows of them, so a bounded broadcast) are split off, and every other
-group keeps the plain single-shuffle window.
+group sizes come from one partial aggregation over the keys, the hot groups (if there are
+any) are split off, and every other group keeps the plain single-shuffle window.
 """
 
 from __future__ import annotations
@@ -38,6 +37,8 @@ Stage = Callable[[str, DataFrame], DataFrame]
 PARTIAL_TOP = 1000
 # A group with more rows than this is numbered through cells instead of one task.
 HOT_GROUP_ROWS = 1 << 22
+# So many keys are broadcast at most.
+MAX_HOT = 100_000
 # Marker for "read the hot-group threshold from the session" (see ``tuning``).
 AUTO = -1
 
@@ -69,16 +70,22 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def split_hot(df: DataFrame, partition_by: Sequence[str], hot_rows: int,
-              sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of groups with more than ``hot_rows`` rows).
+              sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary groups, rows of groups with more than ``hot_rows`` rows or None).
 
     ``sizes`` (partition columns + ``__size``) may be supplied when an upstream
-    aggregation already counted the groups; otherwise one partial aggregation does.
+    aggregation already counted the groups; otherwise one partial aggregation does. It runs
+    at once: mostly no group is hot, and then the rows need no split at all. The hot keys are
+    broadcast if they are at most ``MAX_HOT``; beyond that Spark picks the join.
     """
     if sizes is None:
         sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__size"))
     hot = sizes.where(F.col("__size") > F.lit(int(hot_rows))).select(*partition_by)
-    hot = F.broadcast(hot)  # at most rows / hot_rows keys
+    found = hot.limit(MAX_HOT + 1).count()
+    if not found:
+        return df, None
+    if found <= MAX_HOT:
+        hot = F.broadcast(hot)
     cold = _null_safe_join(df, hot, partition_by, "left_anti").select("__l.*")
     warm = _null_safe_join(df, hot, partition_by, "left_semi").select("__l.*")
     return cold, warm
@@ -112,6 +119,8 @@ def _scan(df: DataFrame, partition_by: Sequence[str], cells: Sequence[Cell] | No
         return _cell_scan(df, partition_by, cells, measure, local, name)
     cold, warm = split_hot(df, partition_by, hot_rows, sizes)
     plain = cold.withColumn(name, local(Window.partitionBy(*partition_by)))
+    if warm is None:
+        return plain
     return plain.unionByName(_cell_scan(warm, partition_by, cells, measure, local, name))
 
 

@@ -23,7 +23,7 @@ def _frame_index(df: DataFrame, label: str, order: list[str]) -> DataFrame:
     frames = df.groupBy(label).agg(*[F.min(c).alias(f"__o{i}") for i, c in enumerate(order)])
     keys = [F.col(f"__o{i}").asc_nulls_first() for i in range(len(order))] + [F.col(label).asc_nulls_first()]
     indexed = ordinal(frames, [], keys, "frame_index", cells=[(F.col("__o0"), True)])
-    return df.join(F.broadcast(indexed.select(label, "frame_index")), label, "inner")
+    return df.join(indexed.select(label, "frame_index"), label, "inner")
 
 
 def frames_seasons(leaderboard: DataFrame) -> DataFrame:
