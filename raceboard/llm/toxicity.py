@@ -163,7 +163,7 @@ class Memory(dict):
 
     LONGEST, EACH = 64, 150  # bytes of an entry beside its characters
 
-    def __init__(self, room: int = 24 << 20):
+    def __init__(self, room: int = 96 << 20):
         super().__init__()
         self.room, self.size = room, 0
 
