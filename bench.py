@@ -53,6 +53,7 @@ def main() -> None:
     seasons = wh.table("report_seasons_metrics")
     season = wh.table("report_season_metrics")
     race = wh.table("report_race_metrics")
+    totals = wh.table("season_totals")
     rr, races, drivers = wh.table("race_entries"), wh.table("dim_race"), wh.table("dim_driver")
     runs = {
         "q1_seasons_rank_cumulative": lambda: q.seasons_rank(seasons, *SEASONS_PODIUMS, totals),
