@@ -176,7 +176,7 @@ l AS (SELECT doc_id, source, page, unnest(lines) line, unnest(range(len(lines)))
 k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) kl FROM l),
 h AS (SELECT source, count(DISTINCT page) n_host FROM d GROUP BY 1),
 b AS (SELECT source, kl, count(DISTINCT page) n FROM k WHERE kl <> '' GROUP BY 1, 2),
-drops AS (SELECT b.source, kl FROM b JOIN h ON b.source = h.source WHERE n >= 5 AND n > 0.1 * n_host),
+drops AS (SELECT b.source, kl FROM b JOIN h ON b.source = h.source WHERE n >= 3 AND n > CASE WHEN len(string_split(kl, ' ')) >= 3 THEN 0.005 ELSE 0.05 END * n_host),
 o AS (SELECT doc_id, count(*) n_dropped FROM k WHERE EXISTS (SELECT 1 FROM drops x WHERE x.source = k.source AND x.kl = k.kl) GROUP BY 1),
 c AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) clean FROM k
       WHERE NOT EXISTS (SELECT 1 FROM drops x WHERE x.source = k.source AND x.kl = k.kl) GROUP BY 1)

@@ -97,7 +97,7 @@ def secrets(text):
     return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
 
 
-def restored_lines(rows, ratio, least):
+def restored_lines(rows, ratio=0.005, short_ratio=0.05, least=3, many_words=3):
     """Cleaned text per (doc, host, text) row."""
     strip = lambda x: x.strip(" \t\r\x0b\x0c")
     hosts = {}
@@ -111,6 +111,6 @@ def restored_lines(rows, ratio, least):
             continue
         pages = hosts[host]
         n = lambda line: sum(line in {strip(x) for x in p.split("\n")} for p in pages)
-        bad = lambda line: line != "" and n(line) >= least and n(line) > ratio * len(pages)
+        bad = lambda line: line != "" and n(line) >= least and n(line) > (ratio if len(line.split(" ")) >= many_words else short_ratio) * len(pages)
         out.append((doc, "\n".join(x for x in text.split("\n") if not bad(strip(x)))))
     return out

@@ -445,8 +445,21 @@ def test_line_dedup(spark):
     pages += [(100 + i, "b", "header\nalone") for i in range(30)]  # one page fetched often
     pages += [(200 + i, None, f"null host\nline {i}") for i in range(6)] + [(300, "c", None), (301, "c", ""), (302, "c", prose(1, 30_000)), (0, "a", pages[0][2]), (None, "a", "header")]
     frame = spark.createDataFrame([(d, t, "en", s, 1, 1, "h", "t", 0.5, 2, "host", "no") for d, s, t in pages], DOCS)
-    got = line_dedup.drop_boilerplate(frame, 0.3, 5).select("row.doc_id", "clean", "row.host", "n_lines", "n_dropped").collect()
-    want = brute.restored_lines(pages, 0.3, 5)
+    got = line_dedup.drop_boilerplate(frame, 0.3, 0.3, 5).select("row.doc_id", "clean", "row.host", "n_lines", "n_dropped").collect()
+    want = brute.restored_lines(pages, 0.3, 0.3, 5)
     assert sorted(((r.doc_id, r.clean) for r in got), key=str) == sorted(want, key=str)
     assert sum(r.n_dropped or 0 for r in got) == 21 * 2 + 1 + 6 and {r.host for r in got} == {"host"}
     assert line_dedup.drop_boilerplate(frame.limit(0)).count() == 0
+
+
+def test_line_dedup_of_short_and_long_lines(spark):
+    long, short = "this line is on every fifth page", "or so"
+    pages = [(i, "a", f"own text of page {i}" + f"\n {long} " * (i % 5 == 0) + f"\n{short}" * (i % 4 == 0)) for i in range(60)]
+    pages += [(100 + i, "tiny", f"{long}\nown words of {i}") for i in range(3)]  # no host is too small
+    pages += [(200 + i, "pair", f"near copies share\nall but one line\n{i}") for i in range(2)]
+    frame = spark.createDataFrame([(d, t, "en", s, 1, 1, "h", "t", 0.5, 2, "host", "no") for d, s, t in pages], DOCS).repartition(4)
+    for args in ((), (0.1, 0.24, 3, 3), (0.1, 0.26, 3, 3), (0.21, 0.2, 3, 3), (0.1, 0.2, 13, 3), (0.1, 0.1, 3, 9)):
+        got = line_dedup.drop_boilerplate(frame, *args).select("row.doc_id", "clean").collect()
+        assert sorted(map(tuple, got)) == sorted(brute.restored_lines(pages, *args))
+    clean = dict(map(tuple, line_dedup.drop_boilerplate(frame).select("row.doc_id", "clean").collect()))
+    assert clean[100] == "own words of 0" and clean[200].startswith("near copies share") and clean[20] == "own text of page 20"

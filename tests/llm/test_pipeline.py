@@ -46,7 +46,7 @@ def test_stages(spark, corpus, tmp_path):
     toxic = lambda t: any(w in (t or "").split() for w in TOXIC)
     kept = [(d, t) for d, t in docs if not toxic(t) and d != 1004]
     assert ids("toxicity") == sorted(str(d) for d, _ in kept)
-    cleaned = brute.restored_lines([(d, "src", t) for d, t in kept], 0.1, 5)
+    cleaned = brute.restored_lines([(d, "src", t) for d, t in kept])
     texts = {str(r.doc_id): r.text for r in out["line_dedup"].select("doc_id", "text").collect()}
     assert texts == {str(d): t for d, t in cleaned} and not any((t or "").startswith("Site header") for t in texts.values())
     comp = brute.components([(d, brute.fingerprint(t)) for d, t in cleaned])
