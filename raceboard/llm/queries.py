@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raceboard.llm import chat_format, decontamination, exact_dedup, line_dedup, minhash, packing, periodic_runs, ranked_search, secrets, simhash, toxicity, url_filter, warc
-from raceboard.llm.common import read_table, stored
+from raceboard.llm.common import read_table
 from raceboard.session import scratch_path
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,8 +60,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to a fresh ledger: every blob under rule version 1, then, when version 2 is
+    added, the pairs that the first has not looked at."""
     docs = read_table(spark, sf_dir, "documents")
-    ledger = stored(secrets.scan(docs), "ledger")
+    path = scratch_path(spark, "ledger")
+    secrets.update_ledger(docs, path, (1,))
+    ledger = secrets.update_ledger(docs, path, (1, 2))
     found = secrets.findings(secrets.versions(docs), ledger)
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.RULES[1]]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")

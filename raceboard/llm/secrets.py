@@ -52,24 +52,37 @@ RULES = {
 _ORDER = {r.kind: i for i, r in enumerate(r for v in sorted(RULES) for r in RULES[v])}
 
 
+#: Matches whose spans are listed at a time: adding to a list copies it.
+BLOCK = 256
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Spans of one rule's counting matches, in code points, by the lengths of the matches
-    and of the pieces between them."""
+    and of the pieces between them. Lists grow a block of matches at a time, so that a text
+    with very many takes time in proportion to them."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    rows = F.arrays_zip(matches.alias("m"), values.alias("v"), F.split(text, rule.pattern).alias("p"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    sizes = lambda a: F.transform(a, lambda x: F.char_length(x))
+    # the piece after the last match has no match beside it
+    rows = F.filter(F.arrays_zip(sizes(matches).alias("m"), sizes(values).alias("v"), sizes(F.split(text, rule.pattern)).alias("p")), lambda r: r["m"].isNotNull())
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + F.char_length(row["p"])
-        end = begin + F.coalesce(F.char_length(row["m"]), F.lit(0))
+        begin = acc["at"] + row["p"]
+        end = begin + row["m"]
         span = F.struct(begin.alias("start"), F.lit(_ORDER[rule.kind]).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        found = F.coalesce(F.char_length(row["v"]) >= rule.least, F.lit(False))
+        found = row["v"] >= rule.least
         return F.struct(end.alias("at"), F.when(found, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(f"array<{SPAN}>").alias("out"))
 
-    none = F.array().cast(f"array<{SPAN}>")
+    def block(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).cast(f"array<array<{SPAN}>>").alias("out")))[0]
+
+    starts = lambda a: F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(BLOCK))
+    blocks = F.transform(F.array(rows), lambda a: F.transform(starts(a), lambda i: F.slice(a, i, F.lit(BLOCK))))[0]
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
     # most texts hold nothing: one search for the pattern's start, and no lists
-    return F.when(text.rlike(rule.hint or rule.pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike(rule.hint or rule.pattern), F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
 
 def blob_id(text: Column) -> Column:

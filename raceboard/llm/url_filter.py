@@ -29,17 +29,23 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """Entry keys that a URL can match: its host, every parent domain with at least one dot,
-    and the host with each leading part of the path."""
+def keys_of(host: Column, path: Column, domain_sizes: Column, path_sizes: Column) -> Column:
+    """Entry keys that a URL can match: its host, its parent domains (of two labels or more)
+    and the host with leading parts of the path, of as many labels and parts as ``*_sizes``
+    names. A URL of many parts makes a key for each size in the lists, not for each part."""
     labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
-                          lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    parents = F.transform(F.filter(domain_sizes, lambda n: (n <= F.size(labels)) & ((n > 1) | (F.size(labels) == 1))),
+                          lambda n: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
-                      lambda i: F.concat(F.lit("path:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
-    return F.when(host != "", F.array_distinct(F.concat(
-        F.array(F.concat(F.lit("host:"), host)), parents, F.coalesce(prefixes, F.array().cast("array<string>")))))
+    prefixes = F.transform(F.filter(path_sizes, lambda n: (n > 0) & (n <= F.size(parts))),
+                           lambda n: F.concat(F.lit("path:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return F.when(host != "", F.concat(F.array(F.concat(F.lit("host:"), host)), parents, prefixes))
+
+
+def _sizes(entries: DataFrame, kind: str, separator: str, less: int) -> Column:
+    """The distinct numbers of parts of the entries of one kind."""
+    of_kind = entries.where(F.col("entry").startswith(kind)).select((F.size(F.split("entry", separator)) - less).alias("n"))
+    return F.coalesce(of_kind.agg(F.sort_array(F.collect_set("n"))).scalar(), F.array().cast("array<int>"))
 
 
 def intervals(events: DataFrame, key: str = "entry", category: str = "category", day: str = "day", action: str = "action") -> DataFrame:
@@ -62,15 +68,17 @@ def evaluate(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id
     """One row per capture: ``page_id, host, fetched, n_matches, categories`` (sorted), ``entry``
     (the longest matching entry's key, then the first by name) and ``blocked``."""
     rows = captures.select(F.col(capture_id).alias("page_id"), F.col(url).cast("string").alias("u"), F.col(fetched).cast("date").alias("fetched"))
+    entries = stored(entries, "intervals")
     # a URL's verdict on a day is the same for every capture of it
     asked = (rows.select(F.xxhash64("u").alias("uh"), "u", "fetched").distinct()
-             .withColumn("host", host_of(F.col("u"))).withColumn("key", F.explode(keys_of(F.col("host"), path_of(F.col("u")))))
-             .withColumn("month", F.trunc("fetched", "month")))
-    last = rows.agg(F.max("fetched")).scalar()  # an open interval matters up to there
-    spread = (stored(entries, "intervals").withColumn("last", last)
-              .withColumn("until", F.least(F.col("last"), F.coalesce(F.date_sub("valid_to", 1), F.col("last"))))
-              .where(F.col("until") >= F.col("valid_from"))
-              .withColumn("month", F.explode(F.expr("sequence(trunc(valid_from, 'month'), trunc(until, 'month'), interval 1 month)")))
+             .withColumns({"host": host_of(F.col("u")), "path": path_of(F.col("u")), "domain_sizes": _sizes(entries, "domain:", r"\.", 0),
+                           "path_sizes": _sizes(entries, "path:", "/", 1)})
+             .withColumn("key", F.explode(keys_of(F.col("host"), F.col("path"), F.col("domain_sizes"), F.col("path_sizes"))))
+             .select("uh", "u", "fetched", "key", F.trunc("fetched", "month").alias("month")))
+    # an interval is needed in the months that captures have; the calendar bounds their list
+    months = rows.agg(F.sort_array(F.collect_set(F.trunc("fetched", "month")))).scalar()
+    inside = lambda m: (m >= F.trunc("valid_from", "month")) & (F.col("valid_to").isNull() | (m < F.col("valid_to")))
+    spread = (entries.withColumn("months", months).withColumn("month", F.explode(F.filter("months", inside)))
               .select(F.col("entry").alias("key"), "category", "valid_from", "valid_to", "month"))
     active = asked.join(spread, ["key", "month"]).where(
         (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))

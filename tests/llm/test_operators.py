@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -235,6 +236,28 @@ def test_secret_ledger(spark, tmp_path):
     assert secrets.scan(table(spark, [])).count() == 0
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    hits = "".join(f"{i:024x} token=abcde{i % 10}{'x' * (i % 2)} " for i in range(32_000))
+    mixed = [(1, hits), (2, " ".join("token=" + "a" * (i % 12) for i in range(1000))), (3, " ".join(["ab" * 12] * 256)), (4, " ".join(["ab" * 12] * 257))]
+    began = time.monotonic()
+    found = secrets.findings(secrets.versions(table(spark, mixed)), secrets.scan(table(spark, mixed))).select("doc_id", secrets.joined(F.col("spans"))).collect()
+    assert time.monotonic() - began < 60
+    assert sorted(map(tuple, found)) == [(d, brute.secrets(t)) for d, t in mixed]
+
+
+def test_url_with_very_many_parts(spark):
+    day = datetime.date(2024, 1, 5)
+    events = spark.createDataFrame([("path:x.com/a/a/a", "spam", day, "add"), ("path:x.com/a", "spam", day, "add"), ("domain:y.com", "adult", day, "add"),
+                                    ("domain:com", "adult", day, "add"), ("domain:localhost", "adult", day, "add")], "entry string, category string, day date, action string")
+    caps = spark.createDataFrame([
+        (1, "http://x.com" + "/a" * 64_000, day), (2, "http://" + "z." * 20_000 + "y.com/", day), (3, "http://x.com/a/b", datetime.date(9999, 12, 31)),
+        (4, "http://localhost/", day), (5, "http://x.com/a", datetime.date(1, 1, 1)), (6, "http://other.com/", day), (7, "http://x.com/b/a", day)], "page_id long, url string, fetched date")
+    began = time.monotonic()
+    got = {r.page_id: (r.n_matches, r.entry) for r in url_filter.evaluate(caps, url_filter.intervals(events)).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {1: (2, "path:x.com/a/a/a"), 2: (1, "domain:y.com"), 3: (1, "path:x.com/a"), 4: (1, "domain:localhost"), 5: (0, None), 6: (0, None), 7: (0, None)}
+
+
 def test_url_lists(spark):
     day = lambda m, d=1: datetime.date(2024, m, d)
     events = spark.createDataFrame([
