@@ -10,7 +10,7 @@ A transcript usually refers backwards only. Its own order is then a topological
 conversation by ``(level, seq)`` is a topological order in both cases.
 
 Defined results: a null call id links to nothing; of several results of one call the first by
-``seq`` counts; repeated call ids are all kept and marked ``duplicate``; a result without a
+``seq``, then content, is linked and each other one is a row with status ``extra_result``; repeated call ids are all kept and marked ``duplicate``; a result without a
 call is a row with status ``orphan_result``; arguments that are no JSON object are null in
 the record and a violation; calls on a dependency cycle, or behind one, have a null level and
 the violation ``cycle``; empty tables give an empty result; other columns are ignored.
@@ -89,7 +89,7 @@ def topological_levels(calls: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """``conv_id, call_id, seq, level, status, violations, record`` for every call and orphan result.
+    """``conv_id, call_id, seq, level, status, violations, record`` for every call and unlinked result.
 
     ``calls``: conv_id, call_id, seq, tool, arguments (JSON text), depends_on (call ids);
     ``results``: conv_id, call_id, seq, content; ``schemas``: tool, argument, type, required.
@@ -103,7 +103,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     levels = stored(topological_levels(calls), "levels")
     # what is known of an identifier: one row each, so a repeated identifier makes no pairs
     ids = stored(counts.join(answers, key, "full"), "identifiers")
-    known = calls.join(ids.hint("shuffle_hash"), key, "left")
+    known = calls.join(ids, key, "left")
     deps = (calls.select(*key, F.explode("depends_on").alias("dep")).distinct()
             .join(counts.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("there")), ["conv_id", "dep"], "left")
             .where(F.col("there").isNull()).groupBy(*key).agg(F.sort_array(F.collect_set(F.concat(F.lit("unknown_dependency:"), "dep"))).alias("no_dep")))
@@ -122,10 +122,15 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     no_call = ids.where(F.col("n_calls").isNull()).select(*key).unionByName(
         results.where(F.col("conv_id").isNull() | F.col("call_id").isNull()).select(*key)).distinct()
     orphans = results.join(no_call.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i")),
-                           F.col("conv_id").eqNullSafe(F.col("c")) & F.col("call_id").eqNullSafe(F.col("i")), "left_semi")
-    return out.unionByName(orphans.select("conv_id", "call_id", "seq", F.lit(None).cast("int").alias("level"), F.lit("orphan_result").alias("status"),
-                                          _no_strings().alias("violations"),
-                                          F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"}).alias("record")))
+                           F.col("conv_id").eqNullSafe(F.col("c")) & F.col("call_id").eqNullSafe(F.col("i")), "left_semi").select("*", F.lit("orphan_result").alias("status"))
+    # beside the linked result: equal ones are counted, so that one of them is the linked one
+    several = ids.where(F.col("n_calls").isNotNull() & (F.col("n_results") > 1)).select(*key, "answer")
+    others = results.groupBy(*key, "seq", "content").agg(F.count(F.lit(1)).alias("n")).join(several, key)
+    others = others.withColumn("n", F.col("n") - F.struct("seq", "content").eqNullSafe(F.col("answer")).cast("long")).where(F.col("n") > 0)
+    extra = others.select(*key, "seq", "content", F.explode(F.array_repeat(F.lit("extra_result"), F.col("n").cast("int"))).alias("status"))
+    lone = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"})
+    return out.unionByName(orphans.unionByName(extra).select(
+        *key, "seq", F.lit(None).cast("int").alias("level"), "status", _no_strings().alias("violations"), lone.alias("record")))
 
 
 TURN_SCHEMAS = [("respond", "after", "string", False), ("respond", "prompt", "string", True), ("respond", "turn", "integer", True),
@@ -136,9 +141,11 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plain conversations ``(conv_id, turn, role, text)`` as calls, results and schemas.
 
     A user turn calls ``respond`` and depends on the call of the turn two before it; a system
-    turn calls ``configure``; any other turn is the result of the call one turn before.
+    turn calls ``configure``; any other turn is the result of the call one turn before. A turn
+    without conversation or number has a null call id, and a null number or text is a missing
+    argument.
     """
-    at = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    at = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     asks = turns.where(F.col("role").isin("user", "system"))
     user = F.col("role") == "user"

@@ -39,19 +39,20 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH t AS (SELECT *, conv_id || ':' || turn id, conv_id || ':' || (turn - 1) back, role IN ('user', 'system') asks FROM conversations),
+WITH t AS (SELECT *, conv_id || ':' || turn id, conv_id || ':' || (turn - 1) back, coalesce(role IN ('user', 'system'), false) asks FROM conversations),
 c AS (SELECT t.*, CASE WHEN role = 'user' AND EXISTS (SELECT 1 FROM t e WHERE e.conv_id = t.conv_id AND e.turn = t.turn - 2 AND e.role = 'user')
-                       THEN conv_id || ':' || (turn - 2) END aft FROM t WHERE asks),
-r AS (SELECT * FROM t WHERE NOT asks),
-one AS (SELECT conv_id, back, arg_min(text, turn) content FROM r GROUP BY 1, 2)
-SELECT c.conv_id, c.id call_id, c.turn seq, 0 AS level, CASE WHEN one.back IS NULL THEN 'unanswered' ELSE 'linked' END status, '' violations,
-       '{"arguments":{' || CASE WHEN aft IS NULL THEN '' ELSE '"after":' || to_json(aft) || ',' END || '"prompt":' || to_json(c.text) || ',"turn":' || c.turn
-       || '},"depends_on":[' || CASE WHEN aft IS NULL THEN '' ELSE to_json(aft)::VARCHAR END || '],"id":' || to_json(c.id) || ',"name":"'
-       || CASE role WHEN 'user' THEN 'respond' ELSE 'configure' END || '","result":' || coalesce(to_json(one.content)::VARCHAR, 'null') || '}' record
-FROM c LEFT JOIN one ON one.conv_id = c.conv_id AND one.back = c.id
+                       THEN conv_id || ':' || (turn - 2) END aft, count(*) OVER (PARTITION BY id) copies FROM t WHERE asks),
+r AS (SELECT *, id IS NOT NULL AND EXISTS (SELECT 1 FROM c WHERE c.id = t.back) called, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) place FROM t WHERE NOT asks)
+SELECT c.conv_id, c.id call_id, c.turn seq, 0 AS level, CASE WHEN c.id IS NOT NULL AND c.copies > 1 THEN 'duplicate' WHEN r.back IS NULL THEN 'unanswered' ELSE 'linked' END status,
+       concat_ws(',', CASE WHEN c.text IS NULL THEN 'missing:prompt' END, CASE WHEN c.turn IS NULL THEN 'missing:turn' END) violations,
+       '{"arguments":{' || concat_ws(',', '"after":' || to_json(aft), '"prompt":' || to_json(c.text), '"turn":' || c.turn)
+       || '},"depends_on":[' || CASE WHEN aft IS NULL THEN '' ELSE to_json(aft)::VARCHAR END || '],"id":' || coalesce(to_json(c.id)::VARCHAR, 'null') || ',"name":"'
+       || CASE c.role WHEN 'user' THEN 'respond' ELSE 'configure' END || '","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}' record
+FROM c LEFT JOIN r ON r.back = c.id AND r.place = 1
 UNION ALL
-SELECT conv_id, back, turn, NULL, 'orphan_result', '', '{"id":' || to_json(back) || ',"result":' || to_json(text) || '}'
-FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.id = r.back)"""
+SELECT conv_id, back, turn, NULL, CASE WHEN called THEN 'extra_result' ELSE 'orphan_result' END, '',
+       '{"id":' || coalesce(to_json(back)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(text)::VARCHAR, 'null') || '}'
+FROM r WHERE NOT (called AND place = 1)"""
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Each operator against brute force on small tables: nulls, empty and long texts, repeated rows,
 empty tables and extra columns whose names clash with the operators' own."""
 
+import base64
 import datetime
+import gzip
 import hashlib
 import json
 import random
 import time
+import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from raceboard.llm import chat_format, decontamination, exact_dedup, line_dedup, packing, secrets, simhash, toxicity, url_filter, warc
+from raceboard.llm import chat_format, decontamination, exact_dedup, line_dedup, packing, queries, secrets, simhash, toxicity, url_filter, warc
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, pos int, h string, term string, fp double, `row` int, host string, score string"
@@ -76,7 +80,7 @@ def test_tool_calls(spark):
     schemas = spark.createDataFrame([("add", "x", "integer", True), ("add", "y", "number", True), ("add", "y", "number", True), (None, "x", "string", True)],
                                     "tool string, argument string, type string, required boolean")
     got = {(r.conv_id, r.call_id, r.seq): r for r in chat_format.link_tool_calls(calls, results, schemas).collect()}
-    assert len(got) == calls.count() + 2
+    assert len(got) == calls.count() + 3 and (got[1, "a", 9].status, got[1, "a", 9].record) == ("extra_result", '{"id":"a","result":"late"}')
     a = got[1, "a", 0]
     assert (a.status, a.violations, a.level) == ("linked", [], 0)
     assert a.record == '{"arguments":{"x":1,"y":2},"depends_on":[],"id":"a","name":"add","result":"say \\"3\\"\\n"}'
@@ -92,6 +96,22 @@ def test_tool_calls(spark):
     assert chat_format.link_tool_calls(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
 
 
+def test_tool_calls_of_odd_turns(spark):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "q1"), (1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, 2, "assistant", "a"), (1, 2, "tool", None), (1, 3, "user", None),
+            (1, 5, "user", "é\n\"q\""), (1, 6, None, "odd"), (7, None, "user", "x"), (7, None, "user", "y"), (7, None, "assistant", "z"), (None, 5, "user", "n"), (None, 6, "assistant", "m"),
+            (8, 1, "user", "twice"), (8, 1, "user", "twice"), (8, 2, "assistant", "ok"), (9, 4, "assistant", "lost"), (9, 4, "assistant", "lost"), (None, None, None, None)]
+    turns = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, call_id string").repartition(3)
+    linked = chat_format.link_tool_calls(*chat_format.calls_of_turns(turns)).withColumn("violations", F.array_join("violations", ","))
+    duck = duckdb.connect()
+    conversations = turns.select("conv_id", "turn", "role", "text").toArrow()  # noqa: F841  DuckDB reads it by name
+    found = duck.execute(queries.OP2_SQL)
+    got = [tuple(r) for r in linked.select(*[d[0] for d in found.description]).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, found.fetchall()))
+    assert len(got) == len(rows) - 3  # the linked results are in their calls' rows
+    assert [r[6] for r in got if r[4] == "linked" and r[1] == "1:1"][0].endswith('"result":null}')
+    assert sorted(r[4] for r in got if r[1] == "1:1") == ["extra_result"] * 3 + ["linked"]
+
+
 TOXIC = ["idiot", "moron", "scumbag"]
 
 
@@ -442,9 +462,9 @@ def test_warc(spark, tmp_path):
         want.append((p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", ref if revisit else None, True))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.verified) for r in got), key=str) == sorted(want, key=str)
     assert next(bytes(r.payload) for r in got if r.page_id == 7) == big.encode()
-    import gzip
     import pathlib
-    names = [p for p in pathlib.Path(path).iterdir() if p.name.startswith("part")]
+    names = list(pathlib.Path(path).rglob("part*"))
+    assert len(names) >= len(pages) / 3
     data = b"".join(gzip.decompress(p.read_bytes()) for p in names)  # any gzip reader takes them
     assert data.count(b"WARC-Type: ") == len(pages)
     empty = str(tmp_path / "none")
@@ -463,6 +483,59 @@ def test_warc_finds_damage():
         list(warc.read_records(warc.member(rec)[:-20]))
 
 
+def foreign_record(kind, name, block, more=()):
+    head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"), *more, ("Content-Length", str(len(block)))]
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    body = b"<p>\xe9 body</p>" * 30
+    http = b"HTTP/1.1 200 OK\r\nX-Name: \xe9\r\nTransfer-Encoding: chunked\r\n\r\n" + body
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    typed = ("Content-Type", "application/http; msgtype=response")
+    records = [foreign_record("warcinfo", "<urn:uuid:1>", b"software: x\r\n", [("Content-Type", "application/warc-fields")]),
+               foreign_record("response", "<urn:uuid:2>", http, [typed, ("WARC-Target-URI", "http://a"), ("WARC-Payload-Digest", f"sha1:{sha1}")]),
+               foreign_record("response", "<urn:uuid:3>", http, [typed, ("WARC-Payload-Digest", f"sha1:{sha1[::-1]}")]),
+               foreign_record("response", "<urn:uuid:4>", http, [typed, ("WARC-Payload-Digest", "md5:x")]),
+               foreign_record("resource", "<urn:uuid:5>", body, [("WARC-Block-Digest", f"sha256:{hashlib.sha256(body).hexdigest()}")]),
+               foreign_record("response", "<urn:page:7>", b"HTTP/1.1 200 OK", [typed])]
+    folder = tmp_path / "with space %20"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    got = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path), keep_payload=True).collect()}
+    assert [got[f"<urn:uuid:{i}>"].verified for i in range(1, 6)] == [None, True, False, None, True]
+    assert all(bytes(got[f"<urn:uuid:{i}>"].payload) == body and got[f"<urn:uuid:{i}>"].payload_bytes == len(body) for i in range(2, 6))
+    assert got["<urn:uuid:1>"].payload_digest == hashlib.sha256(b"software: x\r\n").hexdigest() and got["<urn:uuid:2>"].payload_digest == sha1
+    assert {i: r.page_id for i, r in got.items() if r.page_id is not None} == {"<urn:page:7>": 7} and got["<urn:page:7>"].payload_bytes == 0
+    with pytest.raises(ValueError, match="goes on"):
+        list(warc.read_records(gzip.compress(records[0] + records[1])))
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(4)
+    pages = spark.createDataFrame([(i, "u", "".join(rng.choices("abcdefghijklmnop", k=20_000))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), bytes_per_file=100_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").rglob("part*")]
+    assert max(sizes) <= 100_000 and len(sizes) > 5
+    assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == list(range(60))
+
+
+def test_warc_reader_holds_one_step_of_a_large_file(tmp_path):
+    rng = random.Random(5)
+    noise = rng.randbytes(1 << 20)
+    path = tmp_path / "large.warc.gz"
+    with open(path, "wb") as out:
+        for i in range(300):  # one record a member, 300 MB that do not compress, then one of 100 MB
+            out.write(warc.member(foreign_record("resource", f"<urn:uuid:{i}>", noise[i:] + noise[:i])))
+        out.write(warc.member(foreign_record("resource", "<urn:uuid:300>", noise * 100)))
+    assert path.stat().st_size > 300 << 20
+    tracemalloc.start()
+    with open(path, "rb") as source:
+        assert sum(r[6] for r in warc.read_records(source)) == 400 << 20
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+
+
 def test_line_dedup(spark):
     pages = [(i, "a", f"header\nunique {i}\n  footer \n\nsame {i % 7}") for i in range(20)]
     pages += [(100 + i, "b", "header\nalone") for i in range(30)]  # one page fetched often
