@@ -7,7 +7,7 @@ score and the tokenizer, so ``ORACLE_SQL`` is None and the tests compare with br
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raceboard.llm import decontamination, line_dedup, packing, simhash, toxicity
@@ -24,24 +24,16 @@ def _short_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "1000")
 
 
-def _short(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-
-
 def _packed(docs: DataFrame) -> DataFrame:
     """All columns as ``row`` beside the row's key, so that no name can clash."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"),
-                       F.coalesce(doc_id, F.lit(0).cast("long")).alias("d"), _short(F.xxhash64(doc_id.isNull(), text)).alias("s"))
+                       F.coalesce(doc_id, F.lit(0).cast("long")).alias("d"), F.xxhash64(doc_id.isNull(), text).alias("s"))
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id and text hash are in ``rejected``.
-
-    The text hash only tells rows of one id apart, so 31 bits of it do. With a short key the
-    list stays small enough to come to the documents for longer.
-    """
-    keys = stored(rejected.select(id_key().alias("d"), _short(F.col("h")).alias("s")).distinct(), "rejected", sort=["d"])
+    """``docs`` without the rows whose id and text hash are in ``rejected``."""
+    keys = stored(rejected.select(id_key().alias("d"), F.col("h").alias("s")).distinct(), "rejected", sort=["d"])
     return _packed(docs).join(keys, ["d", "s"], "left_anti").select("row.*")
 
 
