@@ -78,6 +78,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.005, short_ratio: float
     packed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host_key(host).alias("host"), F.xxhash64(body).alias("page"), body.alias("body"))
     lines = F.split("body", "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("drop"), line_key(x)))
-    out = packed.join(stored(drops, "lines-to-drop"), ["host", "page"], "left").withColumn("kept", F.when(F.col("drop").isNull(), lines).otherwise(kept))
+    # the lists grow with the pages, so texts and lists meet by a shuffle at every size
+    out = packed.join(stored(drops, "lines-to-drop").hint("merge"), ["host", "page"], "left").withColumn("kept", F.when(F.col("drop").isNull(), lines).otherwise(kept))
     return out.select("row", F.array_join("kept", "\n").alias("clean"), F.size(lines).cast("long").alias("n_lines"),
                       (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"))
