@@ -6,13 +6,15 @@ the whole build once, writing every table as Parquet under a folder in the share
 checkpoint dir and returning a warehouse whose tables read those files (the
 source's "rebuild every table, then serve queries from them").  Written tables
 also cut the lineage, so a lost executor costs one stage, not the whole build.
+``on_demand`` builds the same tables in the same way, each when it is first asked for, so
+that one query costs the tables it reads and not the whole warehouse.
 """
 
 from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
@@ -22,13 +24,36 @@ from pyspark.sql import functions as F
 from raceboard.plans import conform, reports
 from raceboard.session import application_id, scratch_path
 from raceboard.sources import adapter, csv_files, store
-from raceboard.sources.schemas import STAGING
+from raceboard.sources.schemas import STAGING, conform_columns
 from raceboard.sources.versions import Build, VersionedStore
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Named tables, each built once, when it is first asked for. Threads may ask for any."""
+
+    def __init__(self, names: Collection[str], build: Callable[[str], DataFrame]) -> None:
+        self._build, self._done = build, {}
+        self._locks = {n: threading.Lock() for n in names}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        with self._locks[name]:
+            if name not in self._done:
+                self._done[name] = self._build(name)
+            return self._done[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._locks
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._locks)
+
+    def __len__(self) -> int:
+        return len(self._locks)
+
+
 class Warehouse:
-    def __init__(self, spark: SparkSession, staging: dict[str, DataFrame],
-                 conformed: dict[str, DataFrame] | None = None, built_reports: dict[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, staging: Mapping[str, DataFrame],
+                 conformed: Mapping[str, DataFrame] | None = None, built_reports: Mapping[str, DataFrame] | None = None):
         self.spark = spark
         self.staging = staging
         if conformed is not None:
@@ -52,11 +77,11 @@ class Warehouse:
         return cls(spark, csv_files.read_staging(spark, folder, multi_line=multi_line))
 
     @cached_property
-    def conformed(self) -> dict[str, DataFrame]:
+    def conformed(self) -> Mapping[str, DataFrame]:
         return conform.conform_all(self.staging)
 
     @cached_property
-    def reports(self) -> dict[str, DataFrame]:
+    def reports(self) -> Mapping[str, DataFrame]:
         built = reports.build_reports(self.conformed)
         return built | {"season_totals": reports.season_totals(built["report_seasons_metrics"])}
 
@@ -93,8 +118,8 @@ class Warehouse:
                     database: str | None = None) -> "Warehouse":
         """Build every table from the star-schema tables in ``sf_dir`` into ``out_dir``.
 
-        Three waves: the adapter's two shared intermediates, the ten conformed tables,
-        the three reports.  Tables of one wave do not depend on each other, so each is
+        First the adapter's two shared intermediates, one after the other, then two waves: the
+        ten conformed tables and the reports.  Tables of one wave do not depend on each other, so each is
         planned and written by its own worker as a concurrent Spark job (``parallel`` at
         a time), which keeps the cluster busy while a small table's job finishes.  Ranked
         staging inputs and the lap work tables are written where several readers or a
@@ -102,9 +127,7 @@ class Warehouse:
         ``timer(table, seconds)`` is told how long each table took to write.
         """
         def staging(keep: Keep) -> dict[str, DataFrame]:
-            intermediates = adapter.adapter_work(spark, sf_dir)
-            written = _wave(keep, {f"work/{n}": (lambda df=df: df) for n, df in intermediates.items()}, parallel)
-            work = {n.split("/", 1)[1]: df for n, df in written.items()}
+            work = adapter.adapter_work(spark, sf_dir, persist=lambda n, df: keep(f"work/{n}", df))
             return adapter.staging_from_work(spark, sf_dir, work, persist=lambda n, df: keep(f"staging/{n}", df))
 
         built = _build(spark, staging, out_dir, timer, parallel)
@@ -113,6 +136,36 @@ class Warehouse:
         return built
 
 
+    @classmethod
+    def on_demand(cls, spark: SparkSession, sf_dir: str, out_dir: str) -> "Warehouse":
+        """The warehouse of ``materialize``, of which each table (staging, work, conformed or
+        report) is built and written when it or a table made from it is first asked for.
+
+        Tables of no use to the queries of a session are not built in it, and no version is
+        committed to ``out_dir``.
+        """
+        build = VersionedStore(spark, out_dir).begin()
+        keep = keeper(build, lambda: staging["races"])
+
+        def work_table(name: str, df: DataFrame) -> DataFrame:
+            return keep(f"work/{name}", df)
+
+        def staged(name: str) -> DataFrame:
+            df = make_staging[name]()
+            return keep(f"staging/{name}", df) if name in adapter.KEPT else df
+
+        work = Tables(adapter.WORK, lambda n: work_table(n, make_work[n]()))
+        make_work = adapter.work_builders(spark, sf_dir, work)
+        raw = Tables(STAGING, staged)
+        make_staging = adapter.staging_builders(spark, sf_dir, work, raw)
+        staging = Tables(STAGING, lambda n: conform_columns(raw[n], STAGING[n]))
+        make_conformed = conform.builders(staging, persist=work_table)
+        conformed = Tables(make_conformed, lambda n: keep(n, make_conformed[n]()))
+        make_reports = reports.builders(conformed, persist=work_table) | {"season_totals": lambda: reports.season_totals(built["report_seasons_metrics"])}
+        built = Tables(make_reports, lambda n: keep(n, make_reports[n]()))
+        return cls(spark, staging, conformed, built)
+
+
 Keep = Callable[..., DataFrame]
 
 
@@ -203,11 +256,11 @@ def _input_signature(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def built_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The materialized warehouse for ``sf_dir``, built once per Spark application."""
+    """The warehouse for ``sf_dir``: each table is built at most once per Spark application, on demand."""
     key = (application_id(spark), sf_dir.rstrip("/"), _input_signature(spark, sf_dir))
     with _LOCK:
         wh = _BUILT.get(key)
         if wh is None:
-            wh = Warehouse.materialize(spark, sf_dir, scratch_path(spark, "warehouse"))
+            wh = Warehouse.on_demand(spark, sf_dir, scratch_path(spark, "warehouse"))
             _BUILT[key] = wh
         return wh

@@ -17,7 +17,7 @@ the cell-bucketed ``ordinal`` so a race never has to fit one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -260,43 +260,57 @@ def status(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(statusId, status)")  # Spark knows its size, so it is broadcast
 
 
-def adapter_work(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The two shared intermediates: per-(race, driver) totals and the numbered laps."""
+#: Staging inputs that several tables read, and the intermediates that all come from.
+KEPT, WORK = ("results", "sprint_results", "races", "lap_times"), ("race_driver_totals", "result_laps")
+
+
+def work_builders(spark: SparkSession, sf_dir: str, work: Mapping[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
+    """One thunk per shared intermediate: per-(race, driver) totals, and the numbered laps, which
+    read the totals from ``work`` (the written ones, where they are written)."""
     lines = race_lines(spark, sf_dir)
-    totals = race_driver_totals(lines)
     return {
-        "race_driver_totals": totals,
-        "result_laps": laps_of_results(lines, totals).drop("l_returnflag", "o_year", "mon"),
+        "race_driver_totals": lambda: race_driver_totals(lines),
+        "result_laps": lambda: laps_of_results(lines, work["race_driver_totals"]).drop("l_returnflag", "o_year", "mon"),
     }
 
 
-def staging_from_work(spark: SparkSession, sf_dir: str, work: dict[str, DataFrame],
+def adapter_work(spark: SparkSession, sf_dir: str, persist: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The two shared intermediates; ``persist(name, df)`` may write each before the next reads it."""
+    work: dict[str, DataFrame] = {}
+    for name, build in work_builders(spark, sf_dir, work).items():
+        work[name] = persist(name, build()) if persist else build()
+    return work
+
+
+def staging_builders(spark: SparkSession, sf_dir: str, work: Mapping[str, DataFrame], raw: Mapping[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
+    """One thunk per staging input, before ``conform_columns``; ``raw`` has those that others read."""
+    return {
+        "results": lambda: _results(work["race_driver_totals"], "main"),
+        "sprint_results": lambda: _results(work["race_driver_totals"], "sprint"),
+        "races": lambda: races(work["race_driver_totals"]),
+        "lap_times": lambda: lap_times(work["result_laps"]),
+        "pit_stops": lambda: pit_stops(work["result_laps"]),
+        "qualifying": lambda: qualifying(raw["results"]),
+        "seasons": lambda: seasons(raw["races"], spark),
+        "circuits": lambda: circuits(raw["races"]),
+        "drivers": lambda: drivers(spark, sf_dir),
+        "constructors": lambda: constructors(spark, sf_dir),
+        "constructor_color": lambda: constructor_color(spark, sf_dir),
+        "status": lambda: status(spark),
+    }
+
+
+def staging_from_work(spark: SparkSession, sf_dir: str, work: Mapping[str, DataFrame],
                       persist: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """All twelve staging inputs, with the declared staging schemas, from the intermediates.
 
-    ``persist(name, df)`` may write the ranked inputs that several tables read
-    (results, sprint results, timed laps) and return their read-back.
+    ``persist(name, df)`` may write the inputs that several tables read (``KEPT``) and return
+    their read-back.
     """
-    keep = persist or (lambda _name, df: df)
-    totals, laps = work["race_driver_totals"], work["result_laps"]
-    main = keep("results", _results(totals, "main"))
-    sprint = keep("sprint_results", _results(totals, "sprint"))
-    race_df = keep("races", races(totals))
-    out = {
-        "results": main,
-        "sprint_results": sprint,
-        "lap_times": keep("lap_times", lap_times(laps)),
-        "pit_stops": pit_stops(laps),
-        "qualifying": qualifying(main),
-        "races": race_df,
-        "seasons": seasons(race_df, spark),
-        "circuits": circuits(race_df),
-        "drivers": drivers(spark, sf_dir),
-        "constructors": constructors(spark, sf_dir),
-        "constructor_color": constructor_color(spark, sf_dir),
-        "status": status(spark),
-    }
-    return {name: conform_columns(df, STAGING[name]) for name, df in out.items()}
+    raw: dict[str, DataFrame] = {}
+    for name, build in staging_builders(spark, sf_dir, work, raw).items():
+        raw[name] = persist(name, build()) if persist and name in KEPT else build()
+    return {name: conform_columns(raw[name], STAGING[name]) for name in STAGING}
 
 
 def staging_from_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
