@@ -140,10 +140,10 @@ class _Search:
         rows = nodes.where("n > 0").select("node", "n", F.explode("bands").alias("key"))
         again = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1"), "bucket-keys")
         self.buckets = stored(rows.join(again, "key").select("key", "node", "n", "pivot"), "buckets")
-        met = stored(self.buckets.groupBy("node").agg(F.min("pivot").alias("home")), "met")
-        self.brief = stored(nodes.select("node", "n", "coords").join(met, "node"), "brief")
+        met = self.buckets.groupBy("node").agg(F.min("pivot").alias("home"))
+        self.brief = stored(nodes.select("node", "n", "coords", "row_id", "row_h").join(met, "node"), "brief")
         # one text of each of these sets is read again for its shingles
-        source = nodes.join(met, "node").select("node", F.col("row_id").alias("d"), F.col("row_h").alias("h"))
+        source = self.brief.select("node", F.col("row_id").alias("d"), F.col("row_h").alias("h"))
         texts = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("d"), "h", "text").join(source, ["d", "h"]).select("node", "text").distinct()
         self.sets = stored(shingle_sets(texts, size), "sets")
 
@@ -174,15 +174,25 @@ def _agreeing(a: str, b: str) -> Column:
     return F.lit(COORDS) - differ
 
 
-def links(search: _Search) -> DataFrame:
-    """``(a, b)``: confirmed links that join up all sets which any links join up."""
+def joined(search: _Search) -> DataFrame:
+    """``(node, root)`` of all sets that have a link: the smallest set that links join them with."""
     least = stored(search.buckets.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     found = stored(search.confirm(least), "links")
-    return found.unionByName(stored(_across(search, found), "links"))
+    roots = stored(components(found), "roots")
+    return _merged(roots, stored(_across(search, roots), "links"))
+
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further ``links(a, b)``, which join whole components: only their roots are looked at."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    over = stored(components(between), "roots-of-roots")
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(over.join(roots, "node", "left_anti").select("node", "root"))
 
-def _across(search: _Search, found: DataFrame) -> DataFrame:
-    """Links between members of different components of ``found`` that share a bucket.
+
+def _across(search: _Search, roots: DataFrame) -> DataFrame:
+    """Links between members of different components (of ``roots``) that share a bucket.
 
     Of each bucket the members outside its largest component ask for all others. They ask by
     blocks of sets, which hold at most ``_BLOCK`` sets or about ``_BLOCK_SHINGLES`` shingles
@@ -192,9 +202,8 @@ def _across(search: _Search, found: DataFrame) -> DataFrame:
     may be as many pairs of them as a group has) make no rows.
     """
     blocks = stored(_blocks(search), "blocks")
-    roots = stored(components(found), "roots")
     named = search.buckets.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    sizes = stored(named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")), "component-sizes")
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("key", "main")
     mixed = stored(named.join(stored(main, "mixed-keys"), "key").join(blocks, "node"), "mixed")
     lists = mixed.groupBy("key", "block").agg(F.collect_list(F.struct("node", "root", "n", (F.col("root") == F.col("main")).alias("is_main"))).alias("members"))
@@ -232,7 +241,7 @@ def _across(search: _Search, found: DataFrame) -> DataFrame:
             right += hits.tolist()
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    share_code(found.sparkSession)
+    share_code(roots.sparkSession)
     return held.groupBy("block", "share").cogroup(asked.groupBy("of_block", "of_share")).applyInArrow(count, "a bigint, b bigint")
 
 
@@ -255,7 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, doc_id: s
     nodes = stored(one.select(*of_set, "least", F.coalesce("r.doc_id", F.lit(0).cast("long")).alias("row_id"), F.col("r.h").alias("row_h"), "r.bands", "r.coords",
                               F.monotonically_increasing_id().alias("node")), "nodes")
     search = _Search(source, nodes, size, percent)
-    roots = stored(components(links(search)), "roots")
+    roots = stored(joined(search), "roots")
     linked = nodes.select("node", "least").join(roots, "node")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", F.lit(True).alias("found"), "component")
     every = stored(nodes.select("node", *of_set, "least").join(named, "node", "left")

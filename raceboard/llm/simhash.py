@@ -39,6 +39,8 @@ from raceboard.llm.common import bare_id, keyed, map_batches, null_id, stored
 SEED = 42
 PIVOTS = [random.Random(1000 + i).getrandbits(64) for i in range(8)]
 _STEP = 1 << 16
+#: Tables of links are worked on by at least so many tasks, or one for so many rows.
+_LEAST_TASKS, _TASK_ROWS = 8, 50_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -141,24 +143,33 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of ``edges(a, b)``: its component's smallest node.
 
     Alternating stars: every node's larger neighbours, then its smaller ones, are hung on the
-    smallest, until nothing changes; written tables carry the rounds.
+    smallest, until only stars are left; written tables carry the rounds, in as many tasks as
+    their rows need.
     """
     star = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct(), "stars")
-    mark = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    before, now = None, mark(star)
-    while now != before:
+    while tasks := _tasks_left(star):
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(stored(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.distinct(), "large-stars")
-        small = stored(large.groupBy("u").agg(F.min("v").alias("m")), "small-least")
+        large = both.where(F.col("v") > F.col("u")).join(stored(least.coalesce(tasks), "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.distinct().coalesce(tasks), "large-stars")
+        small = stored(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "small-least")
         hung = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        star = stored(hung.where(F.col("u") != F.col("v")).distinct(), "stars")
-        before, now = now, mark(star)
+        star = stored(hung.where(F.col("u") != F.col("v")).distinct().coalesce(tasks), "stars")
     roots = star.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _tasks_left(star: DataFrame) -> int:
+    """0 if ``star(u, v)`` is stars only (every ``u`` hangs on one ``v``, which hangs on none),
+    else how many tasks its rows are worth."""
+    ends = star.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
+                                         F.struct(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.hangs").alias("hangs"), F.max("e.holds").alias("holds"))
+    crossed = (F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))
+    found = nodes.agg(F.count(F.when(crossed, F.lit(1))).alias("crossed"), F.sum("hangs").alias("rows")).first()
+    return max(_LEAST_TASKS, found["rows"] // _TASK_ROWS) if found["crossed"] else 0
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, dense: int = 64, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """``doc_id, h, fp, component_id`` per row: the smallest id reachable over links."""
