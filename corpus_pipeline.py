@@ -11,17 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raceboard.llm import decontamination, line_dedup, packing, simhash, toxicity
-from raceboard.llm.common import id_key, read_table, stored
-
-
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def _short_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python 1,000 rows at a time, unless the session says otherwise: beside
-    the batch itself, both sides keep buffers of the largest batch they have had."""
-    if spark.conf.get(_BATCH, "10000") == "10000":  # Spark's default
-        spark.conf.set(_BATCH, "1000")
+from raceboard.llm.common import id_key, read_table, short_batches, stored
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -39,7 +29,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go, in the pass that scores them."""
-    _short_batches(spark)
+    short_batches(spark)
     score = toxicity.fitted(docs, read_table(spark, sf_dir, "labels"))
     scored = _packed(docs).select("row", "text", score(F.col("text")).alias("score"))
     return scored.where(F.col("score") < 0.7).select("row.*")
@@ -54,7 +44,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays (of repeated
     rows of that id, those with the smallest text hash)."""
-    _short_batches(spark)
+    short_batches(spark)
     found = stored(simhash.near_duplicates(docs), "groups")
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = stays.groupBy(F.coalesce("component_id", F.lit(0).cast("long")).alias("c"), F.col("component_id").isNull().alias("n")).agg(F.min("h").alias("first"))
@@ -71,7 +61,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, tokenised and packed."""
-    _short_batches(spark)
+    short_batches(spark)
     return packing.pack_documents(docs).drop("h")
 
 

@@ -14,7 +14,8 @@ then compared word by word and extended to both sides, so hashes decide nothing.
 a multiple of a known run's period is passed over inside that run.
 
 Each row is worked on by itself in one narrow pass; nothing is shuffled, and a lost executor
-costs only its own rows.
+costs only its own rows. A task holds one batch of rows and the words and results of a part of
+it that is bounded in rows and bytes.
 
 Defined results: a null, empty or wordless text has no words and no runs and collapses to the
 empty text; ids are carried, not looked at, and may be null; ties and repeated rows each get
@@ -28,17 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from raceboard.llm.common import short_batches
 from raceboard.session import share_code
 
 RUNS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "period")]))
 LEAST = 24  # words of the shortest run
 TIMES = 3  # periods of the shortest run
 _BASE = 0x9E3779B97F4A7C15  # odd: block hashes are taken modulo 2**64
-_BATCH = 1 << 20
+_BATCH = 1 << 16  # block pairs compared at a time
+_ROWS, _BYTES = 64, 1 << 20  # of texts held as Python objects and of results handed on
 
 Run = tuple[int, int, int]  # start, length, period
 
@@ -149,6 +153,19 @@ def collapsed(words: list[bytes], runs: list[Run]) -> bytes:
     return b" ".join([words[i] for i in np.flatnonzero(keep)])
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most ``_ROWS`` rows and about ``_BYTES`` of text (a longer text is a piece)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and (i - start == _ROWS or held + size > _BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def find_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row, n_words, runs, collapsed`` per row of ``docs``: all its other columns as ``row``, the
     runs as ``array<struct<start, length, period>>`` and the text without repeats."""
@@ -159,14 +176,17 @@ def find_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "period")]))
         for batch in batches:
-            counts, runs, texts = [], [], []
-            for words in (t.split() for t in batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()):
-                counts.append(len(words))
-                runs.append(found := runs_of(words))
-                texts.append(collapsed(words, found).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(counts, pa.int64()), pa.array([[dict(zip(("start", "length", "period"), r)) for r in x] for x in runs], kind),
-                 pa.array(texts, pa.string())], names=["row", "n_words", "runs", "collapsed"])
+            for part in _parts(batch):
+                counts, runs, texts = [], [], []
+                for text in part.column("text").cast(pa.binary()).fill_null(b""):
+                    words = text.as_py().split()
+                    counts.append(len(words))
+                    runs.append(found := runs_of(words))
+                    texts.append(collapsed(words, found).decode("utf-8"))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), pa.array(counts, pa.int64()), pa.array([[dict(zip(("start", "length", "period"), r)) for r in x] for x in runs], kind),
+                     pa.array(texts, pa.string())], names=["row", "n_words", "runs", "collapsed"])
 
     share_code(docs.sparkSession)
+    short_batches(docs.sparkSession)
     return source.mapInArrow(scan, out)

@@ -8,12 +8,13 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from raceboard.llm import minhash, periodic_runs, queries, ranked_search
+from raceboard.llm import minhash, periodic_runs, queries, ranked_search, simhash
 from tests.llm.test_operators import ITEMS, TEXTS, item_table, prose, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -237,3 +238,54 @@ def test_sketch_agreement_counts_bytes(spark):
     rows = [(x.view("<i8").tolist(), y.view("<i8").tolist(), int(np.sum(x == y))) for x, y in zip(a, b)]
     found = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
     assert found.where(minhash._agreeing("a", "b") != F.col("n")).count() == 0
+
+
+def test_texts_are_scanned_in_bounded_parts(spark):
+    texts = [None, "", "x" * (3 * periodic_runs._BYTES), *["y" * (periodic_runs._BYTES // 3)] * 10, *["z"] * 200]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "n": pa.array(range(len(texts)))})
+    parts = list(periodic_runs._parts(batch))
+    assert [x for p in parts for x in p.column("n").to_pylist()] == list(range(len(texts)))
+    sizes = [[len(t or "") for t in p.column("text").to_pylist()] for p in parts]
+    assert all(len(s) <= periodic_runs._ROWS and (sum(s) <= periodic_runs._BYTES or len(s) == 1) for s in sizes)
+    assert list(periodic_runs._parts(batch.slice(0, 0))) == []
+    periodic_runs.find_runs(table(spark, RUN_TEXTS))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def union_find(edges):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {x: root(x) for x in up}
+
+
+def edge_table(spark, edges):
+    return spark.createDataFrame(edges, "a bigint, b bigint")
+
+
+def test_components_end_when_only_stars_are_left(spark, monkeypatch):
+    written, stored = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name, sort=None: written.append(name) or stored(df, name, sort))
+    stars = [(0, i) for i in range(1, 40)] + [(i, 50) for i in range(50, 60)] + [(50, 50)]
+    assert dict(map(tuple, simhash.components(edge_table(spark, stars)).collect())) == union_find([e for e in stars if e != (50, 50)])
+    assert written == ["stars"]
+    rng = random.Random(3)
+    tangled = [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    tangled = [e for e in tangled if e[0] != e[1]]
+    assert dict(map(tuple, simhash.components(edge_table(spark, tangled)).collect())) == union_find(tangled)
+    assert simhash.components(edge_table(spark, [])).count() == 0
+
+
+def test_links_across_components_join_their_roots(spark):
+    first, later = [(1, 2), (2, 5), (7, 8), (10, 12), (20, 21)], [(5, 8), (12, 30), (31, 32), (7, 3), (2, 1)]
+    roots = simhash.components(edge_table(spark, first))
+    got = [tuple(r) for r in minhash._merged(roots, edge_table(spark, later)).collect()]
+    assert len(got) == len(set(got)) and dict(got) == union_find(first + later)
+    got = minhash._merged(roots, edge_table(spark, [])).collect()
+    assert dict(map(tuple, got)) == union_find(first)
